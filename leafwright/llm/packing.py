@@ -16,6 +16,8 @@ as often as it occurs; an empty table gives an empty table; columns beside doc_i
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,40 +26,68 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words whose ids one Python worker keeps; beyond it the table starts anew.
-CACHE_WORDS = 400_000
+#: Word parts whose ids one Python worker keeps; beyond it the table starts anew.
+CACHE_WORDS = 700_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
+#: Characters outside the plain range: texts with any of them take the tokenizer's own path.
+ODD = re.compile("[^\t\n\r -~\u00c0-\u012f\u0131-\u024f]")
+#: The vocabulary's own splitting, for texts of the plain range after lower-casing.
+PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\w\s]|_)+")
 
-class WordCache:
-    """Ids of texts from ids of their words.
 
-    The tokenizer's own splitting never joins characters across a space or a newline and drops both, so the ids of a
-    text are those of its words one after the other. Words are looked up; unseen ones are encoded in one batch.
+def byte_letters() -> list[str]:
+    """The printable character that byte-level vocabularies write for each byte."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(0x100, 0x200))
+    return [chr(b if b in plain else next(rest)) for b in range(256)]
+
+
+class WordIds:
+    """Ids of texts from remembered ids of their parts.
+
+    Word-end vocabularies lower-case a text, split it by a fixed pattern and merge inside each part, so the ids of a
+    text are those of its parts one after the other. `exact` is that path; it holds for the plain range of characters
+    and for a vocabulary of this kind. Everything else is encoded by the tokenizer, word by word: spaces and newlines
+    always separate parts.
     """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.known: dict[str, bytes] = {}
-
-    def ids(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        for text in texts:
-            words = text.replace("\n", " ").split(" ")
-            known = self.known
-            unseen = [w for w in set(words) if w not in known]
-            if unseen:
-                if len(known) + len(unseen) > CACHE_WORDS:
-                    known.clear()
-                    unseen = list(set(words))
-                for at in range(0, len(unseen), 20_000):
-                    part = unseen[at : at + 20_000]
-                    for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                        known[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-            yield b"".join(map(known.__getitem__, words))
+        with open(vocabulary, encoding="utf-8") as f:
+            self.exact = '"end_of_word_suffix":"</w>"' in re.sub(r"\s", "", f.read(20_000))
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        letters = byte_letters()
+        self.mapped = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(0x250)}
+        self.parts: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def part(self, part: str) -> bytes:
+        ids = [t.id for t in self.tokenizer.model.tokenize(part.translate(self.mapped))]
+        return np.asarray(ids, dtype="<u4").tobytes()
+
+    def word(self, word: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def ids(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
+        if self.exact and not ODD.search(text) and not any(x in text for x in self.specials):
+            known, keys, make = self.parts, PART.findall(text.lower()), self.part
+        else:
+            known, keys, make = self.words, text.replace("\n", " ").split(" "), self.word
+        try:
+            return b"".join(map(known.__getitem__, keys))
+        except KeyError:
+            if len(known) > CACHE_WORDS:
+                known.clear()
+            for k in set(keys):
+                if k not in known:
+                    known[k] = make(k)
+            return b"".join(map(known.__getitem__, keys))
 
 
 def pieces(docs: DataFrame, vocabulary: str | None = None, limit: int = 2048, end_id: int = 0) -> DataFrame:
@@ -72,14 +102,13 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, limit: int = 2048, en
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        cache, end = WordCache(path), np.asarray([end_id], dtype="<u4").tobytes()
+        words, end = WordIds(path), np.asarray([end_id], dtype="<u4").tobytes()
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             rows: list[tuple] = []
             for at in range(0, len(ids), 256):
-                part = texts.slice(at, 256).fill_null("").to_pylist()
-                for doc, data in zip(ids[at : at + 256], cache.ids(part), strict=True):
-                    data += end
+                for doc, text in zip(ids[at : at + 256], texts.slice(at, 256).fill_null("").to_pylist(), strict=True):
+                    data = words.ids(text) + end
                     for k, start in enumerate(range(0, len(data), 4 * limit)):
                         piece = data[start : start + 4 * limit]
                         rows.append((doc, k, start // 4, len(piece) // 4, zlib.crc32(piece)))
