@@ -47,7 +47,7 @@ def dropped(*tables: DataFrame) -> None:
 
 def partitions_for(df: DataFrame, target: int = TARGET_BYTES) -> int:
     """A partition count that follows the size of the files a plan reads, and never falls below the session's own."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(least, min(math.ceil(size / target), 200_000)) if size < 1 << 60 else least
 
