@@ -22,7 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafwright.llm.runtime import dropped, stored
+from leafwright.llm.runtime import dropped, partitions_for, stored
+
+_LAST = (1 << 63) - 1
 
 
 def text_lines(text: Column | str = "text") -> Column:
@@ -31,6 +33,11 @@ def text_lines(text: Column | str = "text") -> Column:
     return F.filter(F.coalesce(F.split(text, "\n"), F.array().cast("array<string>")), lambda x: F.trim(x) != "")
 
 
+def _identity() -> list[Column]:
+    """doc and tie: a document is known by its doc_id (null as the largest) and its text."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("tie")]
+
+
 def _ranked(keys: DataFrame, a: str, b: str) -> DataFrame:
     """Pairs that occur more than once, numbered in their order. One row per distinct pair is sorted, by ranges."""
     often = keys.groupBy(a, b).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -51,7 +58,7 @@ def _pairs(ranks: DataFrame, further: int) -> DataFrame:
 def suffix_ranks(docs: DataFrame, depth: int) -> DataFrame:
     """doc, tie, line, rank of each suffix whose first `depth` lines occur more than once. Ranks order the suffixes by
     those lines."""
-    lines = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("tie"), text_lines().alias("lines")).where("size(lines) > 0")
+    lines = docs.select(*_identity(), text_lines().alias("lines")).where("size(lines) > 0")
     keys = lines.select("doc", "tie", F.posexplode(F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g")))).alias("line", "key"))
     keys = keys.select("doc", "tie", "line", "key.h", "key.g").dropDuplicates(["doc", "tie", "line"]) if _repeats_ids(docs) else keys.select("doc", "tie", "line", "key.h", "key.g")
     at, ranks = 1, stored(_named(keys, "h", "g"))
@@ -70,7 +77,7 @@ def _repeats_ids(docs: DataFrame) -> bool:
 def repeated_runs(docs: DataFrame, min_run: int = 2) -> DataFrame:
     """doc, tie, first, until: the maximal runs of lines that are later copies."""
     ranks = suffix_ranks(docs, min_run)
-    home = F.struct(F.col("doc").isNull().alias("n"), "doc", "tie", "line")
+    home = F.struct("doc", "tie", "line")
     firsts = ranks.groupBy("rank").agg(F.min(home).alias("home")).withColumnRenamed("rank", "r")
     later = ranks.join(firsts, F.col("rank") == F.col("r")).where(home > F.col("home")).select("doc", "tie", "line")
     w = Window.partitionBy("doc", "tie").orderBy("line")
@@ -82,8 +89,11 @@ def repeated_runs(docs: DataFrame, min_run: int = 2) -> DataFrame:
 def line_dedup(docs: DataFrame, min_run: int = 2) -> DataFrame:
     """docs with later copies of runs of `min_run` lines or more removed from text, and n_lines, n_removed, n_runs."""
     runs = repeated_runs(docs, min_run).groupBy("doc", "tie").agg(F.sort_array(F.collect_list(F.struct("first", "until"))).alias("_runs"))
-    keyed = docs.withColumns({"_lines": text_lines(), "_tie": F.xxhash64("text")})
-    both = keyed.join(runs, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("_tie") == F.col("tie")), "left")
+    runs = runs.select(F.col("doc").alias("_d"), F.col("tie").alias("_t"), "_runs")
+    doc, tie = _identity()
+    # only the text travels; more partitions than the session's own keep long texts apart
+    keyed = docs.select("*", doc.alias("_doc"), tie.alias("_tie")).repartition(partitions_for(docs), "_doc", "_tie")
+    both = keyed.join(runs, (F.col("_doc") == F.col("_d")) & (F.col("_tie") == F.col("_t")), "left").withColumn("_lines", text_lines())
     total = F.size("_lines")
     begins = F.concat(F.array(F.lit(0)), F.transform("_runs", lambda r: r["until"]))
     ends = F.concat(F.transform("_runs", lambda r: r["first"]), F.array(total))
