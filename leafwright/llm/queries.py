@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafwright.llm import chat, langid, line_dedup, minhash, mixing, packing, substring, suffix_dedup
+from leafwright.llm import chat, graph_dedup, langid, line_dedup, minhash, mixing, packing, substring, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,9 +50,13 @@ def op9_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"))
 
 
+def op10_small_worlds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_perspective_rotation": chat.ROTATE_SQL, "op6_line_runs": line_dedup.LINE_SQL}
+    return {"op1_perspective_rotation": chat.ROTATE_SQL, "op6_line_runs": line_dedup.LINE_SQL, "op10_small_worlds": graph_dedup.GRAPH_SQL}
