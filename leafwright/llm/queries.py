@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafwright.llm import chat, graph_dedup, langid, line_dedup, minhash, mixing, packing, substring, suffix_dedup
+from leafwright.llm import ann, chat, graph_dedup, langid, line_dedup, minhash, mixing, packing, substring, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,10 @@ def op7_relative_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_dedup(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
 
 
+def op8_score_aware(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op9_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"))
 
@@ -59,4 +63,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_perspective_rotation": chat.ROTATE_SQL, "op6_line_runs": line_dedup.LINE_SQL, "op10_small_worlds": graph_dedup.GRAPH_SQL}
+    return {"op1_perspective_rotation": chat.ROTATE_SQL, "op6_line_runs": line_dedup.LINE_SQL, "op8_score_aware": ann.NEAREST_SQL, "op10_small_worlds": graph_dedup.GRAPH_SQL}
