@@ -24,6 +24,8 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafwright.llm.flat import cuts
+
 STRETCH = 512
 #: Characters that one pass holds at a time.
 PASS_CHARS = 1 << 20
@@ -155,12 +157,10 @@ def predict(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
         parser = CrossParser(sent.value)
         for batch in batches:
             texts = batch.column(1)
-            size = np.asarray(pa.compute.fill_null(pa.compute.utf8_length(texts), 0)).cumsum()
-            cuts = [0, *np.flatnonzero(np.diff(size // PASS_CHARS)) + 1, len(size)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if a < b:
-                    lang, score = parser.predict(texts.slice(a, b - a).fill_null("").to_pylist())
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
+            size = np.asarray(pa.compute.fill_null(pa.compute.utf8_length(texts), 0))
+            for a, b in cuts(size, PASS_CHARS):
+                lang, score = parser.predict(texts.slice(a, b - a).fill_null("").to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PREDICTION)
 
@@ -175,3 +175,24 @@ def identify(docs: DataFrame, folds: int = 5) -> DataFrame:
     known = sample(docs.where(~held_out(folds=folds)))
     out = predict(docs, known)
     return out.select("doc_id", held_out(folds=folds).alias("held_out"), "lang_pred", "score")
+
+
+def accepted(docs: DataFrame, folds: int = 5) -> DataFrame:
+    """The rows of docs whose text is in a known language, where they are, with a null lang filled in.
+
+    Rejected is what `predict` calls `und`. Learns as `identify` does. Needs the columns text and lang."""
+    sent = docs.sparkSession.sparkContext.broadcast(sample(docs.where(~held_out(folds=folds))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parser = CrossParser(sent.value)
+        for batch in batches:
+            at, lang_at = batch.schema.get_field_index("text"), batch.schema.get_field_index("lang")
+            size = np.asarray(pa.compute.fill_null(pa.compute.utf8_length(batch.column(at)), 0))
+            found: list[str] = []
+            for a, b in cuts(size, PASS_CHARS):
+                found += parser.predict(batch.column(at).slice(a, b - a).fill_null("").to_pylist())[0]
+            lang = pa.compute.coalesce(batch.column(lang_at), pa.array(found, batch.column(lang_at).type))
+            columns = [lang if i == lang_at else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array([x != "und" for x in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
