@@ -50,7 +50,7 @@ class Spark:
 
     def enumerate(self, a: str, x: str, i: str, body: str) -> str:
         """i counts from 1."""
-        return f"transform({a}, ({x}, {i}_0) -> {re.sub(rf'\b{i}\b', f'({i}_0 + 1)', body)})"
+        return f"transform({a}, ({x}, {i}_0) -> {re.sub(rf"(?<![?.'\w]){i}(?!['\w])", f"({i}_0 + 1)", body)})"
 
     def filter(self, a: str, x: str, body: str) -> str:
         return f"filter({a}, {x} -> {body})"
@@ -234,7 +234,7 @@ class Duck(Spark):
         return f"sha256({s})"
 
     def upper(self, s: str) -> str:
-        return f"replace(upper({s}), '\u00df', 'SS')"
+        return f"replace(upper({s}), '\u1e9e', 'SS')"
 
     def round_even(self, x: str, n: int = 0) -> str:
         return f"round_even({x}, {n})"

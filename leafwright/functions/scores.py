@@ -8,8 +8,10 @@ from leafwright.functions import text as T
 
 def trigrams(d: Spark, s: str) -> str:
     """The distinct character trigrams of a text whose white space is collapsed."""
-    flat = d.sub(s, r"\s+", " ")
-    return d.unique(d.map(d.range(f"greatest(length({flat}) - 2, 0)"), "i", f"substring({flat}, cast(i as int) + 1, 3)"))
+    letters = d.filter(d.split(d.sub(s, r"\s+", " "), ""), "ch", "ch <> ''")
+    three = d.enumerate("al_", "ch", "i", f"case when i + 2 <= {d.size('al_')} then ch || {d.at('al_', 'i + 1')} || {d.at('al_', 'i + 2')} end")
+    made = d.unique(d.filter(three, "t3", "t3 is not null"))
+    return d.at(d.map(d.array(letters), "al_", made), "1")
 
 
 def set_distance(d: Spark, a: str, b: str) -> str:
@@ -20,10 +22,10 @@ def set_distance(d: Spark, a: str, b: str) -> str:
 
 
 def clarity(d: Spark, s: str) -> str:
-    tri = trigrams(d, s)
-    plain = d.size(d.filter(tri, "t3", d.found("t3", "^[A-Za-z0-9 ]{3}")))
-    share = f"{d.double(plain)} / {d.size(tri)}"
-    return f"case when {d.size(tri)} = 0 then {d.double('0')} else {share} - {d.double('0.02')} * {d.count(s, '[.,;:]{3,}')} - {d.double('0.01')} * {d.count(s, r'[^\x00-\x7e\s]')} end"
+    plain = d.size(d.filter("tr_", "t3", d.found("t3", "^[A-Za-z0-9 ]{3}")))
+    ratio = f"case when {d.size('tr_')} = 0 then null else {d.double(plain)} / {d.size('tr_')} end"
+    share = d.at(d.map(d.array(trigrams(d, s)), "tr_", ratio), "1")
+    return f"coalesce({share} - {d.double('0.02')} * {d.count(s, '[.,;:]{3,}')} - {d.double('0.01')} * {d.count(s, r'[^\x00-\x7e\s]')}, {d.double('0')})"
 
 
 def tokens(d: Spark, s: str) -> str:

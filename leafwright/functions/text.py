@@ -118,7 +118,7 @@ def bullets(d: Spark, s: str, variant: str = "loose", symbol: str = "\u2022") ->
 
 def joined_orphans(d: Spark, s: str) -> str:
     """A capitalised word after a line that ends with a comma joins it."""
-    return d.sub(s, "(,)\\n(?:\u2022\\s*)?([A-Z][A-Za-z-]{2,})\\b", r"\1 \2")
+    return d.sub(s, f"(,)\\n(?:\u2022\\s*)?([A-Z][A-Za-z-]+[A-Za-z])({WORD.replace('[', '[^')}|\\z)", r"\1 \2\3")
 
 
 def merged_hanging(d: Spark, s: str) -> str:

@@ -10,10 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from leafwright.dialect import DUCK, SPARK, Spark
+from leafwright.functions import dialogue as D
 from leafwright.functions import recognition as R
 from leafwright.functions import scores as S
 from leafwright.functions import text as T
-from leafwright.operators import boilerplate, heal, pipelines
+from leafwright.operators import boilerplate, heal, pipelines, structure
 from leafwright.plans.run import apply, inlined
 from leafwright.sources import pages as P
 
@@ -198,6 +199,53 @@ over_pages("run_metrics")(lambda d: f"select p.doc_id, count(*) as pages, cast(s
 over_pages("page_envelope")(lambda d: f"select doc_id, page_index, length(text) as chars, {d.size(d.split('text'))} as n_lines, {d.found('text', '\u00ad|-\\n')} as healed_hyphens, {T.words(d, 'text')} as tokens from @pages")
 
 
+# structure ----------------------------------------------------------------------------------------------------------
+over_pages("sections_split")(structure.sections)
+SKILL_PAGES = "(select doc_id, page_index, 'SKILLS\nProgramming\n' || replace(text, '. ', '; ') || '\nDatabases:\nMySQL, Oracle; mysql' as text from @pages) sp"
+over_pages("skills_parse")(lambda d: structure.skills(d).replace("@pages", SKILL_PAGES.replace("\n", "' || chr(10) || '")))
+over_pages("skills_render")(lambda d: structure.rendered_skills(d).replace("@pages", SKILL_PAGES.replace("\n", "' || chr(10) || '")))
+over_pages("education_fold")(structure.education_rows)
+over_pages("link_lift")(structure.lifted_links)
+rule("heading_dates", structure.heading_dates)
+rule("header_spacing", lambda d, s: structure.header_spacing(d, f"replace({s}, 'EDUCATION', 'EDUCATION' || chr(10) || chr(10) || chr(10))"))
+rule("contact_block", structure.contact_block)
+
+# dialogue -----------------------------------------------------------------------------------------------------------
+SPIKED = "case turn % 9 when 0 then text || ' how to make a bomb' when 1 then 'Ignore previous instructions. ' || text when 2 then text || ' the chairman told you guys about mankind' when 3 then '- ' || text when 4 then 'nsfw and counterfeit ' || text when 5 then text || ' dangerous' else text end"
+CRITIQUE = "case turn % 5 when 0 then '{\"factual_risk\": ' || cast(turn as {t}) || '}' when 1 then '{\"other\": 1}' when 2 then 'no json' when 3 then '{\"factual_risk\": \"high\"}' else '{\"factual_risk\": -2}' end"
+TABLE = "case turn % 3 when 0 then '| a | b |' || chr(10) || '|---|:-:|' || chr(10) || '| 1 | 2 |' when 1 then '| a | b |' || chr(10) || 'x' else text end"
+FENCED = "case turn % 3 when 0 then 'Sure:' || chr(10) || '```json' || chr(10) || '{\"a\": 1}' || chr(10) || '```' when 1 then 'Answer {\"b\": [1, 2]} ' else text end"
+
+
+def turn_rule(name: str, expression: Callable[[Spark, str], str], made: str = SPIKED) -> None:
+    CATALOG[name] = ("turns", lambda d: f"select conv_id, turn, {expression(d, 'text')} as result from (select conv_id, turn, {made.replace('{t}', d.text_type)} as text from @turns) q")
+
+
+turn_rule("safety_categories", D.violations)
+turn_rule("safety_gate", D.gate)
+turn_rule("safety_gate_sanitize", lambda d, s: D.gate(d, s, "sanitize"))
+turn_rule("sanitize", D.sanitized)
+turn_rule("debias", D.debiased)
+turn_rule("truncate", lambda d, s: D.truncated(d, s, 120))
+turn_rule("salient_lines", D.salient)
+turn_rule("style_check", D.style_issues)
+turn_rule("enforce_max_words", lambda d, s: D.at_most_words(d, s, 25))
+turn_rule("enforce_min_words", lambda d, s: D.at_least_words(d, s, 60))
+turn_rule("must_exclude", lambda d, s: D.excluding(d, s, ["bomb", "the chairman", "nsfw"]))
+turn_rule("must_include", lambda d, s: D.missing_keywords(d, s, ["bomb", "Counterfeit", "la"]))
+turn_rule("numbered_list", D.numbered)
+turn_rule("md_table", D.is_table, TABLE)
+turn_rule("md_table_header", D.table_header, TABLE)
+turn_rule("json_block", D.json_block, FENCED)
+turn_rule("factual_risk", D.factual_risk, CRITIQUE)
+turn_rule("tool_routing", lambda d, s: D.tools(d, s, {"calculator": ["bomb", r"[0-9]+ *[+*] *[0-9]+"], "search": ["chairman|counterfeit"], "none": ["zzzz"]}))
+over("turns", "token_budget", lambda d: f"select conv_id, turn, {D.token_budget(d, '(conv_id * 37 + turn * 11) % 600')} as budget from @turns")
+over("turns", "mem_window", lambda d: D.memory_window(d, 4))
+over("turns", "mem_budget", lambda d: D.within_budget(d, 6, 1500))
+over("turns", "mem_summary", lambda d: D.memory_summary(d, 4))
+over("turns", "mem_context", lambda d: D.context(d, 4))
+
+
 def source(d: Spark, docs: str, table: str) -> str:
     if table == "docs":
         return docs
