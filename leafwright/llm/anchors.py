@@ -319,8 +319,7 @@ def repeated(docs: DataFrame, windows: Windows, resolve: Resolver, finish: Calla
     keyed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumns({"tie": F.xxhash64("text"), "doc": F.coalesce("doc_id", F.lit(NONE))})
     keyed = keyed.withColumn("g", F.pmod(F.xxhash64("doc", "tie"), F.lit(buckets)))
     wanted = stored(_announce(keyed, windows, buckets))
-    contexts = _contexts(keyed.select("g", "doc", "tie", "text"), wanted, windows, buckets)
-    spans = stored(_resolved(contexts, windows, resolve))
+    spans = stored(_resolved(_contexts(keyed.select("g", "doc", "tie", "text"), wanted, windows, buckets), windows, resolve))
     dropped(wanted)
 
     def last(rows: pa.Table, found: pa.Table) -> pa.Table:

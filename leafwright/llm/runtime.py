@@ -24,16 +24,23 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def stored(df: DataFrame, keep_files: bool = False) -> DataFrame:
+#: With this on, Spark removes the shuffle files of a query when it ends. Written tables need them no more.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame) -> DataFrame:
     """Writes a table into the shared folder and rereads it: later steps survive lost executors without recomputing
-    what came before, and the shuffle files behind it can go."""
+    what came before, and the shuffle files behind it go at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/leafwright-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
-    if not keep_files:
-        spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files of finished steps
     return out
 
 

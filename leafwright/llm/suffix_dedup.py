@@ -63,7 +63,7 @@ def _finish(rows: pa.Table, removed: dict, length: int, with_text: bool) -> pa.T
     return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def suffix_dedup(docs: DataFrame, length: int = 50, k: int = 20, with_text: bool = True) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 50, k: int = 16, with_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if wanted, the kept bytes."""
     windows = anchors.Windows(length, k, words=False)
     return anchors.repeated(docs, windows, partial(resolve, length=length), partial(_finish, length=length, with_text=with_text), RESULT)
