@@ -9,8 +9,9 @@ from leafwright.functions import text as T
 DASH = "[\u2013-]"
 DATE = rf"(?i)\b{T.MONTH}\b.*?\b[0-9]{{4}}\b|\b[0-9]{{4}}\b\s*{DASH}\s*\b(?:[0-9]{{4}}|present)\b"
 DATE_RANGE = rf"(?i)\b{T.MONTH}?\s*[0-9]{{4}}\s*{DASH}\s*{T.MONTH}?\s*(?:[0-9]{{4}}|present)\b"
-PROGRAM = r"(?i)\b(m\.?tech|b\.?tech|m\.?sc|b\.?sc|m\.?e|b\.?e|phd|mba|mca|bca|master|bachelor)\b"
-INSTITUTE = r"(?i)\b(university|college|institute|school|academy|iit|nit)\b"
+EDGE = r"(?:^|\z|[^\p{L}\p{N}_])"
+PROGRAM = rf"(?i){EDGE}(?:m\.?tech|b\.?tech|m\.?sc|b\.?sc|m\.?e|b\.?e|phd|mba|mca|bca|master|bachelor){EDGE}"
+INSTITUTE = rf"(?i){EDGE}(?:university|college|institute|school|academy|iit|nit){EDGE}"
 UPPER = r"^[A-Z][A-Z &/.'-]+$"
 TITLE = r"^[A-Z][a-z]+(?:[ '-][A-Za-z]+)*$"
 URL = r"(?i)\bhttps?://\S+"
