@@ -347,3 +347,35 @@ def section_case(d: Spark, s: str, style: str = "title") -> str:
     items = d.filter(d.map(d.split(body, ","), "it", strip(d, "it")), "it", "it <> ''")
     cased = title_words(d, "it") if style == "title" else f"{d.upper('substring(it, 1, 1)')} || lower(substring(it, 2))"
     return by_line(d, s, "ln", f"case when {d.found('ln', pattern)} then {head} || ': ' || {d.join(d.map(items, 'it', cased), ', ')} else ln end")
+
+
+# Brands, degrees and labels with the case that they keep.
+BRANDS = {"linkedin": "LinkedIn", "github": "GitHub", "gitlab": "GitLab", "coursera": "Coursera", "streamlit": "Streamlit", "aws": "AWS", "gcp": "GCP"}
+DEGREES = ["Master of Technology", "Bachelor of Technology", "Master of Science", "Bachelor of Science", "Master of Engineering", "Bachelor of Engineering"]
+LABELS = ["Email", "Mobile", "Phone", "Graduation", "Academic Performance", "Relevant Coursework"]
+
+
+def brands(d: Spark, s: str) -> str:
+    for a, b in BRANDS.items():
+        s = d.sub(s, rf"\b{a}\b", b)
+    return s
+
+
+def degrees(d: Spark, s: str) -> str:
+    for degree in DEGREES:
+        s = d.sub(s, rf"(?i)\b{degree}\b", degree)
+    return s
+
+
+def labels(d: Spark, line: str) -> str:
+    """Known labels at the start of a line in title case, with one blank after the colon."""
+    for label in LABELS:
+        line = d.sub(line, rf"^(?i:{label})\s*:([^\s]|\z)", rf"{label}: \1")
+    return line
+
+
+def unified_phone(d: Spark, s: str) -> str:
+    """Mobile and Phone labels of a page become one: Mobile if the page has it, else Phone."""
+    has = d.found(s, r"(?mi)^[ \t]*mobile\s*:")
+    pattern = r"(?mi)^[ \t]*(?:mobile|phone)\s*:"
+    return f"case when {has} then {d.sub(s, pattern, 'Mobile: ')} else {d.sub(s, pattern, 'Phone: ')} end"

@@ -135,6 +135,42 @@ def validated(d: Spark) -> str:
     return chain(d, stripped(d, "i", chain(d, "select doc_id, page_index, text from @pages", T.base_clean)), bulleted, _each(T.paren_at_end), T.cities, spaced)
 
 
+def validated_twice(d: Spark) -> str:
+    """validated, and its rules once more on the result: the fix-point that a second pass settles."""
+    again = stripped(d, "i", "select doc_id, page_index, text from once_")
+    bulleted = lambda d, s: T.bullets(d, s, "resume")
+    spaced = lambda d, s: T.single_blank_lines(d, T.by_line(d, s, "ln", T.pipes_before_url(d, T.collapsed(d, T.strip(d, "ln")))))
+    return f"with once_ as ({validated(d)}) {chain(d, again, bulleted, _each(T.paren_at_end), T.cities, spaced)}"
+
+
+def fixed_resume(d: Spark) -> str:
+    """Collapsed lines, edge lines (policy e), bullets, parentheses, cities, brands and degrees."""
+    lines = lambda d, s: T.by_line(d, s, "ln", T.collapsed(d, T.strip(d, "ln")))
+    bulleted = lambda d, s: T.bullets(d, s, "resume")
+    fewer = lambda d, s: d.sub(s, r"\n{3,}", "\n")
+    return chain(d, stripped(d, "e", chain(d, "select doc_id, page_index, text from @pages", lines)), bulleted, T.without_bare_emails, _each(T.paren_known_token), T.cities, T.brands, T.degrees, fewer)
+
+
+def laid_out(d: Spark) -> str:
+    """Commas and pipes, parentheses, city names, blank lines, headings joined with their dates."""
+    from leafwright.operators import structure
+
+    cities = lambda d, s: T.cities(d, s, T.LAYOUT_CITIES, keep_case=True)
+    return chain(d, "select doc_id, page_index, text from @pages", _each(T.spaced_commas_and_pipes), _each(T.paren_unguarded), cities, T.single_blank_lines, structure.header_spacing, structure.heading_dates)
+
+
+def resume_v1(d: Spark) -> str:
+    """The flagship followed by punctuation: blanks after commas, en dashes with blanks."""
+    return chain(d, postproc(d), T.punctuation)
+
+
+def by_policy(d: Spark) -> str:
+    """A document under a policy: glyphs, wraps, pipes, labels, one phone label, headings with blank lines around."""
+    pipes = lambda d, s: T.by_line(d, s, "ln", d.sub("ln", r"\s*\|\s*", " | "))
+    tidy = lambda d, s: T.tidy_lines(d, s)
+    return chain(d, "select doc_id, page_index, text from @pages", T.base_clean, T.without_bare_emails, pipes, _each(T.labels), T.unified_phone, tidy, _lines(heal.spaced_headings), T.single_blank_lines, T.strip)
+
+
 def documents(d: Spark, pages: str) -> str:
     """Pages back to one text per document, form feeds between them."""
     return f"select doc_id, {d.gathered('text', 'page_index', chr(12))} as text from ({pages}) dp group by doc_id"

@@ -14,6 +14,7 @@ from leafwright.functions import dialogue as D
 from leafwright.functions import recognition as R
 from leafwright.functions import scores as S
 from leafwright.functions import text as T
+from leafwright.functions import unicode
 from leafwright.operators import boilerplate, heal, pipelines, structure
 from leafwright.plans.run import apply, inlined
 from leafwright.sources import pages as P
@@ -84,6 +85,10 @@ rule("label_colon", T.label_colons)
 rule("whitelist_case", T.canonical_phrases)
 rule("typo_map", T.typos)
 rule("city_map", T.cities)
+rule("brand_case", lambda d, s: T.brands(d, f"replace({s}, 'http', 'github linkedin http')"))
+rule("degree_case", lambda d, s: T.degrees(d, f"replace({s}, 'EDUCATION', 'MASTER OF technology')"))
+each("label_titles", lambda d, s: T.labels(d, f"replace({s}, 'Skills:', 'EMAIL :')"))
+rule("phone_label", lambda d, s: T.unified_phone(d, f"replace({s}, 'Skills:', case when doc_id % 2 = 0 then 'mobile:' else 'PHONE:' end)"))
 rule("city_map_case", lambda d, s: T.cities(d, s, T.LAYOUT_CITIES, keep_case=True))
 each("contact_line", T.contact_line)
 each("comma_pipe", T.spaced_commas_and_pipes)
@@ -126,6 +131,8 @@ over_pages("boiler_rank_top8")(lambda d: f"select * from ({boilerplate.detected(
 # whole cleaners -----------------------------------------------------------------------------------------------------
 for name, cleaner in {"postproc": pipelines.postproc, "postproc_exact": pipelines.exact, "polish": pipelines.polished, "six_rule_a": pipelines.cleaned, "six_rule_b": pipelines.six_rules_b, "finish_v1": pipelines.finish_v1, "finish_spec": pipelines.finish_spec, "canonical": pipelines.canonical, "clean_general": pipelines.general, "validate": pipelines.validated}.items():
     over_pages(name)(cleaner)
+for name, cleaner in {"validate_twice": pipelines.validated_twice, "fix_resume": pipelines.fixed_resume, "layout": pipelines.laid_out, "resume_v1": pipelines.resume_v1, "document_policy": pipelines.by_policy}.items():
+    over_pages(name)(cleaner)
 over_pages("postproc_typos")(lambda d: pipelines.postproc(d, True))
 over_pages("postproc_documents")(lambda d: pipelines.documents(d, pipelines.postproc(d)))
 
@@ -252,6 +259,14 @@ def source(d: Spark, docs: str, table: str) -> str:
     return (P.paged if table == "clean" else P.defective_pages)(d).replace("@docs", f"({docs}) dd")
 
 
+def nfc_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "case when doc_id % 3 = 0 then replace(text, 'e', 'e\u0301') else text end as text")
+    return unicode.normalized(docs)
+
+
+NFC_SQL = "select doc_id, nfc_normalize(case when doc_id % 3 = 0 then replace(text, 'e', 'e\u0301') else text end) as text from documents"
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def made(table: str, sql: Sql) -> Callable[[SparkSession, str], DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,11 +280,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
         return run
 
-    return {name: made(table, sql) for name, (table, sql) in CATALOG.items()}
+    return {name: made(table, sql) for name, (table, sql) in CATALOG.items()} | {"nfc_glyphs": nfc_glyphs}
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {}
+    out = {"nfc_glyphs": NFC_SQL}
     for name, (_, sql) in CATALOG.items():
         inputs = {t: source(DUCK, "select * from documents", t) for t in ("docs", "pages", "clean")} | {"turns": "select * from conversations"}
         # sub-queries need names of their own wherever an input stands after FROM or JOIN without one
