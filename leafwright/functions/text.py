@@ -19,6 +19,7 @@ SMALL_WORDS = ["and", "or", "the", "of", "in", "on", "for", "to", "with", "a", "
 PLACEHOLDERS = ["ar", "bn", "fa", "gu", "he", "hi", "ja", "kn", "ko", "ml", "mr", "pa", "ta", "te", "ur", "zh"]
 ACRONYMS = ["S3", "EC2", "EKS", "ECS", "RDS", "SNS", "SQS", "GPU", "NLP", "GKE", "ELB"]
 EOL_ABBREVIATIONS = ["S3", "GPU", "CPU", "API", "IAM", "SQL", "NLP", "GCP", "EC2", "EKS"]
+BRAND_ABBREVIATIONS = ["S3", "EC2", "EKS", "GPU", "CPU", "API", "IAM", "SQL", "NLP"]
 PAREN_TOKENS = ["S3", "EC2", "EKS", "GKE", "RDS", "SNS", "SQS", "ELB", "GCS", "BigQuery", "PostgreSQL", "MySQL"]
 
 BARE_EMAIL = r"^(?i)(https?://)?[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}/?\s*$"
@@ -281,6 +282,19 @@ def paren_cloud(d: Spark, line: str) -> str:
     return f"case when {before} <> '' and not {near} then {before} || ')' || {after} else {line} end"
 
 
+def paren_short(d: Spark, line: str) -> str:
+    """An upper-case word, a parenthesis and a token of up to 12 characters that nothing closes on the line."""
+    return d.sub(line, r"\b([A-Z]{2,}\s*\([A-Za-z0-9+/#-]{1,12})([^A-Za-z0-9+/#)-][^)]*)?\z", r"\1)\2")
+
+
+def paren_brand(d: Spark, s: str) -> str:
+    """A known brand and abbreviation after the last closing parenthesis of a page."""
+    head = d.first(s, r"(?s)^(.*\))[^)]*\z", 1)
+    tail = f"substring({s}, length({head}) + 1)"
+    known = "|".join(BRAND_ABBREVIATIONS)
+    return f"({head} || {d.sub(tail, rf'\b((?i:AWS|GCP))\s*\(((?i:{known}))([^A-Za-z0-9]|\z)', r'\1 (\2)\3')})"
+
+
 # headings and labels ----------------------------------------------------------------------------------------------
 
 

@@ -67,12 +67,12 @@ def polished(d: Spark) -> str:
 
 
 def six_rules_b(d: Spark) -> str:
-    """Canonical lines, edge lines (policy d), wraps, quotes, capped healing, e-mail URLs."""
+    """Canonical lines, edge lines (policy d), wraps, quotes, short parentheses, capped healing, e-mail URLs."""
     canonical = lambda d, s: T.tidy_lines(d, T.unix_lines(d, s))
     dehyphen = lambda d, s: T.dehyphen(d, T.without_soft_hyphens(d, s), "ascii")
     extended = lambda d, s: T.glyphs(d, s, "extended")
     healed = lambda d, s: d.join(f"({heal.capped(d, d.split(s))}).out")
-    return chain(d, stripped(d, "d", chain(d, "select doc_id, page_index, text from @pages", canonical)), dehyphen, extended, healed, T.emails_unwrapped)
+    return chain(d, stripped(d, "d", chain(d, "select doc_id, page_index, text from @pages", canonical)), dehyphen, extended, _each(T.paren_short), healed, T.emails_unwrapped)
 
 
 def finish_v1(d: Spark) -> str:
@@ -87,12 +87,12 @@ def finish_v1(d: Spark) -> str:
 
 
 def finish_spec(d: Spark) -> str:
-    """Edge lines (policy g), e-mail URL tokens, label rows, tidy."""
+    """Edge lines (policy g), e-mail URL tokens, brand parentheses, label rows, tidy."""
     def tidy(d: Spark, s: str) -> str:
         return T.single_blank_lines(d, T.glyphs(d, T.dehyphen(d, T.without_zero_width(d, s)), "short"))
 
     rows = lambda d, s: d.join(f"({heal.label_rows(d, d.split(s))}).out")
-    return chain(d, stripped(d, "g", chain(d, "select doc_id, page_index, text from @pages", T.collapsed)), T.email_tokens_dropped, rows, tidy)
+    return chain(d, stripped(d, "g", chain(d, "select doc_id, page_index, text from @pages", T.collapsed)), T.email_tokens_dropped, T.paren_brand, rows, tidy)
 
 
 def canonical(d: Spark) -> str:

@@ -106,6 +106,8 @@ each("paren_one_extra", T.paren_one_extra)
 each("paren_known_token", T.paren_known_token)
 each("paren_acronym", T.paren_acronym)
 each("paren_cloud", T.paren_cloud)
+each("paren_short", T.paren_short)
+rule("paren_brand", T.paren_brand)
 counted("paren_counts", opens=T.opens, closes=T.closes)
 rule("tail_heading_trim", lambda d, s: heal.tail_headings_cut(d, f"({s} || {d.lit(chr(10) + 'OBJECTIVE' + chr(10) + 'Education' + chr(10) + 'CREDENTIALS')})"))
 counted("heading_flags", **{v: (lambda v: lambda d, s: f"cast({d.size(d.filter(d.split(s), 'ln', T.heading(d, 'ln', v)))} as bigint)")(v) for v in T.HEADING_VARIANTS})

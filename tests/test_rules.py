@@ -58,6 +58,8 @@ RULES = [
     (each(T.paren_at_end), "AWS (S3\ndone (x)", "AWS (S3)\ndone (x)"),
     (each(T.paren_one_extra), "AWS (S3\nAWS (Lambda", "AWS (S3)\nAWS (Lambda"),
     (each(T.paren_known_token), "in AWS (BigQuery things", "in AWS (BigQuery things)"),
+    (each(T.paren_short), "AWS (S3 in use\nAWS (Big Query)\nAWS (S3", "AWS (S3) in use\nAWS (Big Query)\nAWS (S3)"),
+    (T.paren_brand, "AWS (S3 and (x) then AWS  (EC2 now\nGCP (SQL\nAzure (SQL", "AWS (S3 and (x) then AWS (EC2) now\nGCP (SQL)\nAzure (SQL"),
     (T.placeholders, "a (hi) b(bn)c (bn)", "a b(bn)c "),
     (T.pipes_before_url, "a|b http://x|y", "a | b http://x|y"),
     (T.one_blank_per_run, "a\n\n\nb", "a\n\nb"),
