@@ -1,7 +1,8 @@
 """Removal of lines that repeat at the edges of a document's pages.
 
 One plan for all policies: edge lines of each page, once a page by key; support per document; the supported keys back
-to the lines. It shuffles by document only.
+to the lines as one array per document. Pages are dealt by document once; every aggregate, window and join after that
+is by document (and more), so nothing else shuffles.
 """
 
 from __future__ import annotations
@@ -67,6 +68,8 @@ def _tables(d: Spark, p: Policy) -> str:
         lines = f"case when {last} = '' then {d.part(lines, '1', d.size(lines) + ' - 1')} else {lines} end"
     if p.drops == "bare_email":
         lines = d.filter(f"({lines})", "fl", f"not {T.is_bare_email(d, 'fl')}")
+    hint = "/*+ REPARTITION(doc_id) */" if d.name == "spark" else ""
+    collect = "collect_list" if d.name == "spark" else "list"
     rank = "c desc, first_seen" if p.by_frequency else "first_seen"
     most = f"rn <= {p.most}" if p.most else "true"
     few = "single_share <= 0.2" if p.guard == "few_single" else "true"
@@ -76,10 +79,12 @@ def _tables(d: Spark, p: Policy) -> str:
         where = f"{d.found('line', '^[^<>]*$')} and not fenced"
     fence = f"(sum(case when {d.found(T.strip(d, 'line'), '^```')} then 1 else 0 end) over (partition by doc_id, page_index order by nth) % 2 = 1)" if p.guard == "document20" else "false"
     return f"""
-with split_ as (select doc_id, page_index, {lines} as ls from @pages),
+with dealt as (select {hint} doc_id, page_index, text from @pages),
+cut as (select doc_id, page_index, {lines} as ls0 from dealt),
+split_ as (select doc_id, page_index, case when {d.size('ls0')} = 0 then {d.array("''")} else ls0 end as ls from cut),
 exploded as ({d.explode(f"doc_id, page_index, {d.size('ls')} as n", 'ls', 'line', 'split_')}),
 keyed as (select *, {key} as k, {fence} as fenced, case when nth < 5 then nth else 5 + nth - greatest(n - 5, 0) end as place from exploded),
-counts as (select doc_id, count(*) as n_pages from @pages group by doc_id),
+counts as (select doc_id, count(*) as n_pages from dealt group by doc_id),
 once as (
   select doc_id, page_index, k, min(place) as place from keyed
   where (nth < 5 or nth >= n - 5) and {_candidate(d, p.candidate)} group by doc_id, page_index, k),
@@ -90,11 +95,11 @@ shares as (select *, avg({d.double('case when c = 1 then 1 else 0 end')}) over (
 ranked as (
   select doc_id, k, c, first_seen, row_number() over (partition by doc_id order by {rank}) as rn
   from shares where {_support(d, p.support)} and {few}),
-keys as (select doc_id, k, rn from ranked where {most}),
+keys as (select doc_id, {collect}(k) as ks, count(*) as n_keys from ranked where {most} group by doc_id),
 flagged as (
-  select q.doc_id, q.page_index, q.nth, q.n, q.line,
-         (keys.k is not null and {where}) or ({always}) as gone
-  from keyed q join counts on q.doc_id = counts.doc_id left join keys on q.doc_id = keys.doc_id and q.k = keys.k)"""
+  select q.doc_id, q.page_index, q.nth, q.n, q.line, n_pages, coalesce(n_keys, 0) as n_keys,
+         (coalesce({d.has('ks', 'k')}, false) and {where}) or ({always}) as gone
+  from keyed q join counts on q.doc_id = counts.doc_id left join keys on q.doc_id = keys.doc_id)"""
 
 
 def removed(d: Spark, variant: str) -> str:
@@ -107,21 +112,17 @@ def removed(d: Spark, variant: str) -> str:
         "page25": "sum(case when gone then 1 else 0 end) over (partition by doc_id, page_index) > 0.25 * count(*) over (partition by doc_id, page_index)",
         "few_single": "n_keys = 0 and regex_pages < 0.6 * n_pages and n_pages > 1 and sum(case when gone then 1 else 0 end) over (partition by doc_id, page_index) > 0.25 * count(*) over (partition by doc_id, page_index)",
     }.get(p.guard, "false")
-    seeded = d.found("line", SEEDED)
     out = d.gathered("line", "nth", where="not (gone and not reverted)")
     out = T.strip(d, out) if variant == "a" else out
+    known = "flagged"
+    if p.guard == "few_single":
+        seeded = f"{d.found('line', SEEDED)} and (nth < 5 or nth >= n - 5) and length(line) <= 80"
+        by_page = f"(select *, max(case when {seeded} then 1 else 0 end) over (partition by doc_id, page_index) as seeded_page from flagged) sp"
+        known = f"(select *, sum(case when nth = 0 then seeded_page else 0 end) over (partition by doc_id) as regex_pages from {by_page})"
     return f"""{_tables(d, p)},
-number as (select doc_id, count(*) as n_keys from keys group by doc_id),
-seeds as (select doc_id, count(distinct page_index) as regex_pages from flagged where {seeded} and (nth < 5 or nth >= n - 5) and length(line) <= 80 group by doc_id),
-known as (
-  select f.*, coalesce(n_keys, 0) as n_keys, coalesce(regex_pages, 0) as regex_pages, n_pages
-  from flagged f join counts on f.doc_id = counts.doc_id left join number on f.doc_id = number.doc_id left join seeds on f.doc_id = seeds.doc_id),
-guarded as (select *, {keep} as reverted from known),
-made as (
-  select doc_id, page_index, {out} as text, cast(sum(case when gone and not reverted then 1 else 0 end) as bigint) as n_removed
-  from guarded group by doc_id, page_index)
-select p.doc_id, p.page_index, coalesce(made.text, '') as text, coalesce(n_removed, 0) as n_removed
-from @pages p left join made on p.doc_id = made.doc_id and p.page_index = made.page_index"""
+guarded as (select *, {keep} as reverted from {known} known_)
+select doc_id, page_index, {out} as text, cast(sum(case when gone and not reverted then 1 else 0 end) as bigint) as n_removed
+from guarded group by doc_id, page_index"""
 
 
 def detected(d: Spark, variant: str = "a") -> str:

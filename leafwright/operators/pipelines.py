@@ -25,7 +25,7 @@ def chain(d: Spark, source: str, *rules: Rule) -> str:
 def stripped(d: Spark, variant: str, source: str) -> str:
     """The removal applied to a sub-query."""
     body = boilerplate.removed(d, variant)
-    return body.replace("@pages", "src_").replace("with split_ as", f"with src_ as ({source}), split_ as", 1)
+    return body.replace("@pages", "src_").replace("with dealt as", f"with src_ as ({source}), dealt as", 1)
 
 
 def _lines(f: Rule) -> Rule:
