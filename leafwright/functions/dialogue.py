@@ -129,10 +129,6 @@ def tools(d: Spark, s: str, triggers: dict[str, list[str]]) -> str:
     return d.join(d.filter(d.array(*(f"case when {' or '.join(d.found(s, '(?i)' + p) for p in ps)} then {d.lit(n)} end" for n, ps in triggers.items())), "tl", "tl is not null"), ",")
 
 
-def system_prompt(persona: str = "Helpful, precise assistant", tone: str = "concise, direct, friendly", formality: str = "neutral") -> str:
-    return f"You are {persona}. Maintain a {tone} tone with {formality} formality."
-
-
 # memory ---------------------------------------------------------------------------------------------------------
 
 
