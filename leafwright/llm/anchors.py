@@ -285,6 +285,7 @@ def _bounds(texts: list[bytes], anchors: np.ndarray, least: np.ndarray, times: n
         return bounds
     sharing: list[np.ndarray] = []
     keys: list[np.ndarray] = []
+    nth: list[np.ndarray] = []
     sizes = np.array([len(texts[i]) for i in several.tolist()])
     for lo, hi in flat.cuts(sizes, PASS_BYTES):
         part = [texts[i] for i in several[lo:hi].tolist()]
@@ -296,19 +297,28 @@ def _bounds(texts: list[bytes], anchors: np.ndarray, least: np.ndarray, times: n
         at = np.repeat(unit[:-1] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         keys.append(h[at])
         sharing.append(np.repeat(several[lo:hi], n))
-    key, who = np.concatenate(keys), np.concatenate(sharing)
+        nth.append(at - np.repeat(unit[:-1], n))
+    key, who, window = np.concatenate(keys), np.concatenate(sharing), np.concatenate(nth)
     order = np.argsort(key, kind="stable")
-    key, who = key[order], who[order]
+    key, who, window = key[order], who[order], window[order]
     twice = np.zeros(len(key), dtype=bool)
     twice[1:] = key[1:] == key[:-1]
     twice[:-1] |= twice[1:].copy()
     found = np.unique(who[twice])
     found = found[np.argsort(anchors[found], kind="stable")]
     edge = np.flatnonzero(np.concatenate([[True], anchors[found][1:] != anchors[found][:-1], [True]])) if len(found) else []
+    counts = _window_counts(texts, windows)
+    first, last = np.zeros(len(texts), np.int64), counts - 1
+    if not windows.words:  # bytes outside the shared windows need no sorting
+        first[found], last[found] = counts[found], -1
+        np.minimum.at(first, who[twice], window[twice])
+        np.maximum.at(last, who[twice], window[twice])
     for lo, hi in zip(edge, edge[1:], strict=False):
         mine = found[lo:hi].tolist()
-        for i, b in zip(mine, resolve([texts[i] for i in mine], [int(own[i]) for i in mine], [int(times[i]) for i in mine]), strict=True):
-            bounds[i] = b
+        cut = [texts[i] if windows.words else texts[i][first[i] : last[i] + windows.length] for i in mine]
+        for i, b in zip(mine, resolve(cut, [int(own[i]) for i in mine], [int(times[i]) for i in mine]), strict=True):
+            bounds[i] = np.full(counts[i], own[i], np.int64)
+            bounds[i][first[i] : last[i] + 1] = b
     return bounds
 
 
