@@ -1,5 +1,7 @@
 """Small inputs with the results that the rules must give."""
 
+import random
+
 import pytest
 
 from leafwright.dialect import DUCK, SPARK
@@ -8,6 +10,7 @@ from leafwright.functions import recognition as R
 from leafwright.functions import scores as S
 from leafwright.functions import text as T
 from leafwright.operators import heal
+from leafwright.plans.run import apply
 
 
 def value(spark, make, text=None):
@@ -106,6 +109,42 @@ def test_word_error_rate(spark):
     assert value(spark, lambda d, _: S.word_error_rate(d, d.split("'patient assessment and care'", " "), d.split("'patient care'", " "))) == 0.5
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_word_error_rate_of_many_distinct_words(spark):
+    """More distinct words than chr() has values, against brute force."""
+    rng = random.Random(3)
+    pairs = [([f"a{i}" for i in range(256)], [f"b{i}" for i in range(256)])]
+    for n in (300, 700):
+        a = [f"w{rng.randrange(2 * n)}" for _ in range(n)]
+        pairs.append((a, [f"w{rng.randrange(2 * n)}" if rng.random() < 0.2 else w for w in a if rng.random() > 0.1]))
+    for a, b in pairs:
+        df = spark.createDataFrame([(a, b)], "a array<string>, b array<string>")
+        assert df.selectExpr(f"{S.word_error_rate(SPARK, 'a', 'b')} as x").first().x == edits(a, b) / len(a)
+
+
+def test_wer_reads_whole_pages(spark, tmp_path):
+    """Every fifth word is left out, so the rate is (n // 5) / n over all n words of a page."""
+    from leafwright.plans import catalog
+
+    text = "\n".join(" ".join(f"word{i}x{j}" for j in range(61)) for i in range(8))
+    spark.createDataFrame([(2, text, "en", "web", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, "user", "x")], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    pages = apply(catalog.source(SPARK, "select * from @docs", "pages"), docs=spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    words = {(r.doc_id, r.page_index): len(r.text.split()) for r in pages.collect()}
+    got = {(r.doc_id, r.page_index): r.wer for r in catalog.queries()["wer"](spark, str(tmp_path)).collect()}
+    assert max(words.values()) > 223 and any(n % 5 for n in words.values()) and got.keys() == words.keys()
+    for k, n in words.items():
+        assert got[k] == pytest.approx(n // 5 / n)
+
+
 def test_confidence_ranks(spark):
     numbers = lambda d: d.array(*(f"{x}.0" if d.name == "duck" else f"{x}D" for x in range(1, 41)))
     assert value(spark, lambda d, _: R.nearest_rank_p05(d, numbers(d))) == 0.02
