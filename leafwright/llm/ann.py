@@ -6,7 +6,10 @@ part parallel to x counts `parallel` times as much as the rest, because it is wh
 by coordinate descent (the parallel part ties all pairs together), centroids by the normal equations of that loss.
 
 Two four-bit codes make one byte; a query's tables of 16 x 16 sums are scanned over those bytes. The best `rerank` of a
-shard are measured exactly, in double precision on the given vectors, and each shard returns its own nearest k.
+shard are measured exactly, in double precision on the given vectors. With r the residual of a vector's code x~, no
+vector is nearer than |q - x~| - |r|; all whose bound is within the k-th distance measured are measured too, as many as
+they are, so each shard returns its own nearest k exactly. Equal vectors are one class that is measured once; of its
+ids the smallest k + 1 are kept, which is all that k neighbours other than the query can need.
 
 The quantiser learns from at most `sample_rows` rows; every row is encoded. Query blocks stream past shards: one task
 holds one shard and one block.
@@ -91,6 +94,20 @@ class Quantiser:
             out.append((codes[:, ::2] * CENTROIDS + codes[:, 1::2]).astype(np.uint8))
         return np.concatenate(out)
 
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        """The vectors that the bytes stand for, cut into pairs."""
+        both = np.stack([codes // CENTROIDS, codes % CENTROIDS], axis=2).reshape(len(codes), self.pairs)
+        return self.centroids[np.arange(self.pairs), both]
+
+    def bounds(self, x: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each row's code: the squared length, and its distance from the row."""
+        square, off = np.empty(len(x)), np.empty(len(x))
+        for lo in range(0, len(x), 2048):
+            back = self.decode(codes[lo : lo + 2048])
+            square[lo : lo + 2048] = (back * back).sum(axis=(1, 2))
+            off[lo : lo + 2048] = np.sqrt(((self._cut(x[lo : lo + 2048]) - back) ** 2).sum(axis=(1, 2)))
+        return square, off
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """queries x bytes x 256 partial inner products."""
         t = np.einsum("qmd,mcd->qmc", self._cut(q), self.centroids)
@@ -109,25 +126,36 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, rerank: int = 100
     """query_id, rank, vec_id, score. is_query: a condition on vec_id."""
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(column).alias("embedding")).where("vec_id is not null")
     points = stored(_binary(usable(rows).select(F.col("vec_id").alias("rep"), F.lit(1).cast("long").alias("times"), "vector")))
-    total = points.count()
+    copies = points.groupBy("dim", "data", "rep").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("times"))
+    first = copies.withColumn("nth", F.row_number().over(Window.partitionBy("dim", "data").orderBy("rep"))).where(F.col("nth") <= k + 1)
+    members = first.groupBy("dim", "data").agg(F.sort_array(F.collect_list(F.struct("rep", "times"))).alias("m"))
+    ids = F.flatten(F.transform("m", lambda x: F.array_repeat(x["rep"], x["times"])))
+    classes = stored(members.select(ids.alias("ids"), F.col("m")[0]["rep"].alias("rep"), "dim", "data"))
+    total = classes.count()
     shards = max(shards, -(-total // shard_rows))
-    learn = points.orderBy(F.xxhash64("rep"), "rep").limit(sample_rows).select("dim", "data").toPandas()
+    learn = classes.orderBy(F.xxhash64("rep"), "rep").limit(sample_rows).select("dim", "data").toPandas()
     quantisers = {int(d): Quantiser(_matrix(x["data"].tolist())) for d, x in learn.groupby("dim")}
     sent = points.sparkSession.sparkContext.broadcast(quantisers)
 
     def index(table: pa.Table) -> pa.Table:
-        ids, raw = table.column("rep").to_numpy(), _matrix(table.column("data").to_pylist())
-        order = np.argsort(ids, kind="stable")
-        ids, raw = ids[order], raw[order]
+        first, ids = table.column("rep").to_numpy(), table.column("ids").to_pylist()
+        order = np.argsort(first, kind="stable")
+        raw = _matrix(table.column("data").to_pylist())[order]
+        ids = [np.asarray(ids[i], np.int64) for i in order]
+        at = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
         quantiser = sent.value.get(raw.shape[1])  # a length that the sample has not met is measured in full
-        value = (ids, raw, None if quantiser is None else quantiser.encode(raw))
+        coded = None
+        if quantiser is not None:
+            codes = quantiser.encode(raw)
+            coded = (codes, *quantiser.bounds(raw, codes))
+        value = (np.concatenate(ids), at, raw, coded)
         return pa.table({"shard": table.column("shard")[:1], "dim": table.column("dim")[:1], "data": pa.array([pickle.dumps(value, protocol=5)], pa.binary())})
 
     def block(table: pa.Table) -> pa.Table:
         value = (table.column("rep").to_numpy(), table.column("data").to_pylist())
         return pa.table({"dim": table.column("dim")[:1], "block": table.column("block")[:1], "data": pa.array([pickle.dumps(value, protocol=5)], pa.binary())})
 
-    indexed = stored(points.withColumn("shard", F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(shards))).groupBy("shard", "dim").applyInArrow(index, "shard long, dim int, data binary"))
+    indexed = stored(classes.withColumn("shard", F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(shards))).groupBy("shard", "dim").applyInArrow(index, "shard long, dim int, data binary"))
     wanted = points.withColumnRenamed("rep", key).where(is_query).withColumnRenamed(key, "rep")
     blocks = max(1, -(-wanted.count() // 256))
     queries = wanted.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(blocks))).groupBy("dim", "block").applyInArrow(block, "dim int, block long, data binary")
@@ -144,7 +172,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, rerank: int = 100
                 if not batch.column("kind")[row].as_py():
                     shard = value
                     continue
-                out = list(zip(*_scan(value[0], _matrix(value[1]), *shard, sent.value.get(len(shard[1][0])), k, rerank), strict=True)) or [[], [], []]
+                out = list(zip(*_scan(value[0], _matrix(value[1]), *shard, sent.value.get(shard[2].shape[1]), k, rerank), strict=True)) or [[], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
 
     found = stream.select("kind", "data").mapInArrow(search, "query_id long, vec_id long, score double")
@@ -152,26 +180,51 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, rerank: int = 100
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _scan(who: np.ndarray, q: np.ndarray, ids: np.ndarray, raw: np.ndarray, codes: np.ndarray | None, quantiser: Quantiser | None, k: int, rerank: int) -> list[tuple[int, int, float]]:
+def _scan(who: np.ndarray, q: np.ndarray, ids: np.ndarray, at: np.ndarray, raw: np.ndarray, coded: tuple | None, quantiser: Quantiser | None, k: int, rerank: int) -> list[tuple[int, int, float]]:
+    """Row n of raw is the vector of ids[at[n] : at[n + 1]]."""
     out = []
     half = (raw * raw).sum(axis=1) / 2
     for lo in range(0, len(who), 32):
         part = q[lo : lo + 32]
-        if quantiser is not None and len(ids) > rerank:
-            score = np.repeat(-half[None].astype(np.float32), len(part), axis=0)
-            for byte, table in enumerate(quantiser.tables(part).transpose(1, 0, 2)):
-                score += table[:, codes[:, byte]]
-            best = np.argpartition(-score, rerank, axis=1)[:, : rerank + 1]
-        else:
-            best = np.broadcast_to(np.arange(len(ids)), (len(part), len(ids)))
+        near = [np.arange(len(raw))] * len(part)
+        if quantiser is not None and len(raw) > rerank:
+            best, least = _bounded(part, half, *coded, quantiser, rerank)
+            for i in range(len(part)):
+                top = _first(int(who[lo + i]), best[i], distances(raw[best[i]], part[i]), ids, at, k)[1]
+                most = top[-1] * (1 + 1e-9) if len(top) == k else np.inf
+                near[i] = np.union1d(best[i], np.flatnonzero(~(least[i] > most)))  # what is no number is measured
         for i in range(len(part)):
-            near = best[i][ids[best[i]] != who[lo + i]]
-            score = distances(raw[near], part[i])
-            order = np.lexsort((ids[near], score))[:k]
-            out += [(int(who[lo + i]), int(ids[near[o]]), float(score[o])) for o in order]
+            found, score = _first(int(who[lo + i]), near[i], distances(raw[near[i]], part[i]), ids, at, k)
+            out += [(int(who[lo + i]), int(x), float(y)) for x, y in zip(found, score, strict=True)]
     return out
 
 
+def _bounded(q: np.ndarray, half: np.ndarray, codes: np.ndarray, square: np.ndarray, off: np.ndarray, quantiser: Quantiser, rerank: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows with the best approximate scores, and for every row what its distance is at least."""
+    tables = quantiser.tables(q)
+    inner = np.zeros((len(q), len(codes)), np.float32)
+    with np.errstate(invalid="ignore", over="ignore"):
+        for byte, table in enumerate(tables.transpose(1, 0, 2)):
+            inner += table[:, codes[:, byte]]
+        best = np.argpartition(half[None] - inner, rerank, axis=1)[:, : rerank + 1]
+        size = (q * q).sum(axis=1)[:, None] + square[None]
+        # rounding of the single-precision sums, and of the double-precision ones
+        slack = (tables.shape[1] + 1) * 2.0**-22 * np.abs(tables).max(axis=2).sum(axis=1, dtype=np.float64)
+        least = np.sqrt(np.maximum(size - 2 * inner.astype(np.float64) - slack[:, None] - 1e-12 * size, 0)) - off * (1 + 1e-9)
+    return best, least
+
+
+def _first(me: int, rows: np.ndarray, score: np.ndarray, ids: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest k ids other than me among the ids of some rows, and their distances."""
+    size = at[rows + 1] - at[rows]
+    place = np.arange(size.sum()) + np.repeat(at[rows] - np.cumsum(size) + size, size)
+    found, score = ids[place], np.repeat(score, size)
+    other = found != me
+    found, score = found[other], score[other]
+    order = np.lexsort((found, score))[:k]
+    return found[order], score[order]
+
+
 NEAREST_SQL = r"""
 with v as (select vec_id, embedding::double[] as e from embeddings where vec_id is not null),
 ok as (

@@ -76,6 +76,22 @@ def test_nearest(spark):
     assert ann.nearest(spark.createDataFrame([], SCHEMA), F.col("vec_id") == 0).count() == 0
 
 
+def test_nearest_with_copies_is_exact(spark):
+    """500 equal vectors and 800 near copies among 2,500, one id twice: the same as brute force."""
+    x = vectors(4, 2500, 32)
+    rng = np.random.default_rng(2)
+    x[np.r_[700:1200]] = x[700]
+    x[1300:2100] = x[1300] + (1e-3 * rng.normal(size=(800, 32))).astype(np.float32)
+    data = [(i, [float(v) for v in x[i]], 0) for i in range(len(x))] + [(701, [float(v) for v in x[701]], 0)]
+    got = ann.nearest(spark.createDataFrame(data, SCHEMA), F.col("vec_id") % 100 == 0, shards=2).toPandas()
+    y, who = np.vstack([x, x[701:702]]).astype(np.float64), np.array([r[0] for r in data])
+    for i in range(0, 2500, 100):
+        d = ann.distances(y, y[i])
+        d[who == i] = np.inf
+        mine = got[got.query_id == i].sort_values("rank")
+        assert mine.vec_id.tolist() == who[np.lexsort((who, d))[:10]].tolist(), i
+
+
 def test_score_aware_loss_lowers_parallel_error():
     x = np.random.default_rng(0).normal(size=(1500, 16))
     error = {}
