@@ -21,8 +21,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of runs of two lines or more are cut; a document of which nothing is left goes."""
-    out = line_dedup.line_dedup(docs.select(*COLUMNS), min_run=2)
+    """Later copies of runs of two lines or more, and of any line of ten words or more, are cut; a document of which
+    nothing is left goes."""
+    out = line_dedup.line_dedup(docs.select(*COLUMNS), min_run=2, alone=10)
     out = out.where((F.col("n_removed") == 0) | (F.trim("text") != ""))
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 

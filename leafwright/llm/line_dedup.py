@@ -8,7 +8,11 @@ they are sorted, so a line or run with any share of the rows is one row in the s
 
 Suffixes of one rank at depth `min_run` are exactly those of one interval of the suffix array in which neighbours
 share a prefix of `min_run` lines or more. In each interval the occurrence with the smallest (doc_id, line) stays; the
-lines that the others cover are removed, and overlapping covers make up the maximal repeated runs.
+lines that the others cover are removed, and overlapping covers make up the maximal repeated runs. Each run of more
+lines is covered by its intervals at that depth, so greater depths would remove the same lines.
+
+With `alone`, a line of so many words or more counts as a run by itself: the intervals of depth 1 remove its later
+copies. A line's first occurrence is never removed.
 
 Only DataFrame functions are used. Lines are compared by two 64-bit hashes.
 
@@ -44,9 +48,9 @@ def _ranked(keys: DataFrame, a: str, b: str) -> DataFrame:
     return often.orderBy(a, b).select(F.col(a).alias("_a"), F.col(b).alias("_b"), F.monotonically_increasing_id().alias("_rank"))
 
 
-def _named(rows: DataFrame, a: str, b: str) -> DataFrame:
+def _named(rows: DataFrame, a: str, b: str, *more: str) -> DataFrame:
     ranks = stored(_ranked(rows, a, b))
-    return rows.join(ranks, (F.col(a) == F.col("_a")) & (F.col(b) == F.col("_b"))).select("doc", "tie", "line", F.col("_rank").alias("rank"))
+    return rows.join(ranks, (F.col(a) == F.col("_a")) & (F.col(b) == F.col("_b"))).select("doc", "tie", "line", F.col("_rank").alias("rank"), *more)
 
 
 def _pairs(ranks: DataFrame, further: int) -> DataFrame:
@@ -55,13 +59,20 @@ def _pairs(ranks: DataFrame, further: int) -> DataFrame:
     return ranks.withColumn("next", F.first("rank").over(there)).where("next is not null")
 
 
-def suffix_ranks(docs: DataFrame, depth: int) -> DataFrame:
-    """doc, tie, line, rank of each suffix whose first `depth` lines occur more than once. Ranks order the suffixes by
-    those lines."""
+def _line_ranks(docs: DataFrame, alone: int | None = None) -> DataFrame:
+    """doc, tie, line, rank of each line that occurs more than once; with `alone`, long: whether it has so many words."""
     lines = docs.select(*_identity(), text_lines().alias("lines")).where("size(lines) > 0")
-    keys = lines.select("doc", "tie", F.posexplode(F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g")))).alias("line", "key"))
-    keys = keys.select("doc", "tie", "line", "key.h", "key.g").dropDuplicates(["doc", "tie", "line"]) if _repeats_ids(docs) else keys.select("doc", "tie", "line", "key.h", "key.g")
-    at, ranks = 1, stored(_named(keys, "h", "g"))
+    parts = {"h": lambda x: F.xxhash64(x), "g": lambda x: F.xxhash64(F.lit(1), x)}
+    if alone is not None:
+        parts["long"] = lambda x: (F.length(x) >= 2 * alone - 1) & (F.size(F.split(F.trim(x), r"\s+")) >= alone)
+    keys = lines.select("doc", "tie", F.posexplode(F.transform("lines", lambda x: F.struct(*(f(x).alias(c) for c, f in parts.items())))).alias("line", "key"))
+    keys = keys.select("doc", "tie", "line", "key.*")
+    keys = keys.dropDuplicates(["doc", "tie", "line"]) if _repeats_ids(docs) else keys
+    return stored(_named(keys, "h", "g", *list(parts)[2:]))
+
+
+def _doubled(ranks: DataFrame, depth: int) -> DataFrame:
+    at = 1
     while at < depth:
         further = min(at, depth - at)
         before, ranks = ranks, stored(_named(_pairs(ranks, further), "rank", "next"))
@@ -70,25 +81,44 @@ def suffix_ranks(docs: DataFrame, depth: int) -> DataFrame:
     return ranks
 
 
+def suffix_ranks(docs: DataFrame, depth: int) -> DataFrame:
+    """doc, tie, line, rank of each suffix whose first `depth` lines occur more than once. Ranks order the suffixes by
+    those lines."""
+    return _doubled(_line_ranks(docs), depth)
+
+
 def _repeats_ids(docs: DataFrame) -> bool:
     return not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
 
 
-def repeated_runs(docs: DataFrame, min_run: int = 2) -> DataFrame:
-    """doc, tie, first, until: the maximal runs of lines that are later copies."""
-    ranks = suffix_ranks(docs, min_run)
+def _later(ranks: DataFrame, depth: int) -> DataFrame:
+    """doc, tie, line, end of all occurrences in an interval but the first."""
     home = F.struct("doc", "tie", "line")
     firsts = ranks.groupBy("rank").agg(F.min(home).alias("home")).withColumnRenamed("rank", "r")
-    later = ranks.join(firsts, F.col("rank") == F.col("r")).where(home > F.col("home")).select("doc", "tie", "line")
-    w = Window.partitionBy("doc", "tie").orderBy("line")
-    begins = F.coalesce(F.col("line") > F.lag("line").over(w) + min_run, F.lit(True))
-    islands = later.withColumn("begins", begins.cast("int")).withColumn("island", F.sum("begins").over(w))
-    return islands.groupBy("doc", "tie", "island").agg(F.min("line").alias("first"), (F.max("line") + min_run).alias("until")).drop("island")
+    return ranks.join(firsts, F.col("rank") == F.col("r")).where(home > F.col("home")).select("doc", "tie", "line", (F.col("line") + depth).alias("end"))
 
 
-def line_dedup(docs: DataFrame, min_run: int = 2) -> DataFrame:
-    """docs with later copies of runs of `min_run` lines or more removed from text, and n_lines, n_removed, n_runs."""
-    runs = repeated_runs(docs, min_run).groupBy("doc", "tie").agg(F.sort_array(F.collect_list(F.struct("first", "until"))).alias("_runs"))
+def repeated_runs(docs: DataFrame, min_run: int = 2, alone: int | None = None) -> DataFrame:
+    """doc, tie, first, until: the maximal runs of lines that are later copies."""
+    ranks = _line_ranks(docs, alone)
+    single = None if alone is None else stored(_later(ranks.where("long"), 1))
+    later = _later(_doubled(ranks, min_run), min_run)
+    if single is None:  # ends come in the order of lines: one plain window
+        w = Window.partitionBy("doc", "tie").orderBy("line")
+        begins = F.coalesce(F.col("line") > F.lag("line").over(w) + min_run, F.lit(True))
+        islands = later.drop("end").withColumn("begins", begins.cast("int")).withColumn("island", F.sum("begins").over(w))
+        return islands.groupBy("doc", "tie", "island").agg(F.min("line").alias("first"), (F.max("line") + min_run).alias("until")).drop("island")
+    later = later.unionByName(single)
+    w = Window.partitionBy("doc", "tie").orderBy("line", "end")
+    begins = F.coalesce(F.col("line") > F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    islands = later.withColumn("begins", begins.cast("int")).withColumn("island", F.sum("begins").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return islands.groupBy("doc", "tie", "island").agg(F.min("line").alias("first"), F.max("end").alias("until")).drop("island")
+
+
+def line_dedup(docs: DataFrame, min_run: int = 2, alone: int | None = None) -> DataFrame:
+    """docs with later copies of runs of `min_run` lines or more, and of lines of `alone` words or more, removed from
+    text, and n_lines, n_removed, n_runs."""
+    runs = repeated_runs(docs, min_run, alone).groupBy("doc", "tie").agg(F.sort_array(F.collect_list(F.struct("first", "until"))).alias("_runs"))
     runs = runs.select(F.col("doc").alias("_d"), F.col("tie").alias("_t"), "_runs")
     doc, tie = _identity()
     # only the text travels; more partitions than the session's own keep long texts apart

@@ -163,6 +163,18 @@ def test_line_runs(spark):
     assert longer.where("n_removed > 0").count() == 0
 
 
+def test_long_lines_alone(spark):
+    """Lines of ten words or more go from one on, one-line documents too; shorter ones only in runs of two."""
+    import corpus_pipeline
+
+    a, b, short = " ".join(f"a{i}" for i in range(10)), " ".join(f"b{i}" for i in range(60)), " ".join(f"s{i}" for i in range(9))
+    texts = [b, f"x\n{a}\ny", f"{short}\n{a}\nz", b, f"q\n{short}\nr", f"x\n{a}\ny\n{b}\nend", f"{a}\n{a}"]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_removed, r.n_runs) for r in line_dedup.line_dedup(docs, alone=10).collect()}
+    assert got == {0: (b, 0, 0), 1: (texts[1], 0, 0), 2: (f"{short}\nz", 1, 1), 3: ("", 1, 1), 4: (texts[4], 0, 0), 5: ("end", 4, 1), 6: ("", 2, 1)}
+    assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, "").collect()} == {i: t for i, (t, *_) in got.items() if t}
+
+
 def test_line_runs_of_three(spark):
     docs = spark.createDataFrame([(1, "a\nb\nc\nd\ne", "en", "s", 0), (2, "z\nb\nc\nd\ny", "en", "s", 0), (3, "c\nd", "en", "s", 0)], SCHEMA)
     got = {r.doc_id: r.text for r in line_dedup.line_dedup(docs, min_run=3).collect()}
