@@ -11,8 +11,10 @@ vector is nearer than |q - x~| - |r|; all whose bound is within the k-th distanc
 they are, so each shard returns its own nearest k exactly. Equal vectors are one class that is measured once; of its
 ids the smallest k + 1 are kept, which is all that k neighbours other than the query can need.
 
-The quantiser learns from at most `sample_rows` rows; every row is encoded. Query blocks stream past shards: one task
-holds one shard and one block.
+The quantiser learns from at most `sample_rows` rows (and SAMPLE_BYTES of them); every row is encoded, and every query
+scans the codes of every shard. The number of shards follows the vectors: a shard has at most `shard_rows` of them and
+SHARD_BYTES. Query blocks stream past shards: one task holds one shard and one block, and a shard travels once for
+SLICE_BLOCKS blocks.
 
 Defined results: vectors that are null, empty, zero or hold a null, NaN or infinite component take no part, as
 candidates or queries; a query's candidates are the vectors of its own length but not itself (by vec_id); ties go to
@@ -31,9 +33,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafwright.llm.graph_dedup import _binary, _matrix, usable
-from leafwright.llm.runtime import stored
+from leafwright.llm.runtime import dropped, stored
 
 CENTROIDS = 16
+SHARD_BYTES, SAMPLE_BYTES = 32 << 20, 64 << 20
+#: Queries of a block, and blocks that one copy of a shard serves.
+BLOCK, SLICE_BLOCKS = 256, 32
 
 
 class Quantiser:
@@ -122,7 +127,7 @@ def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 10, rerank: int = 100, shards: int = 8, shard_rows: int = 50_000, sample_rows: int = 8_000, key: str = "vec_id", column: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 10, rerank: int = 40, shard_rows: int = 8_192, sample_rows: int = 8_000, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score. is_query: a condition on vec_id."""
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(column).alias("embedding")).where("vec_id is not null")
     points = stored(_binary(usable(rows).select(F.col("vec_id").alias("rep"), F.lit(1).cast("long").alias("times"), "vector")))
@@ -131,9 +136,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, rerank: int = 100
     members = first.groupBy("dim", "data").agg(F.sort_array(F.collect_list(F.struct("rep", "times"))).alias("m"))
     ids = F.flatten(F.transform("m", lambda x: F.array_repeat(x["rep"], x["times"])))
     classes = stored(members.select(ids.alias("ids"), F.col("m")[0]["rep"].alias("rep"), "dim", "data"))
-    total = classes.count()
-    shards = max(shards, -(-total // shard_rows))
-    learn = classes.orderBy(F.xxhash64("rep"), "rep").limit(sample_rows).select("dim", "data").toPandas()
+    total, widest = classes.agg(F.count(F.lit(1)), F.max("dim")).first()
+    row_bytes = 8 * (widest or 1)
+    shards = max(1, -(-total // max(1, min(shard_rows, SHARD_BYTES // row_bytes))))
+    learn = classes.orderBy(F.xxhash64("rep"), "rep").limit(max(CENTROIDS, min(sample_rows, SAMPLE_BYTES // row_bytes))).select("dim", "data").toPandas()
     quantisers = {int(d): Quantiser(_matrix(x["data"].tolist())) for d, x in learn.groupby("dim")}
     sent = points.sparkSession.sparkContext.broadcast(quantisers)
 
@@ -157,9 +163,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, rerank: int = 100
 
     indexed = stored(classes.withColumn("shard", F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(shards))).groupBy("shard", "dim").applyInArrow(index, "shard long, dim int, data binary"))
     wanted = points.withColumnRenamed("rep", key).where(is_query).withColumnRenamed(key, "rep")
-    blocks = max(1, -(-wanted.count() // 256))
+    blocks = max(1, -(-wanted.count() // BLOCK))
     queries = wanted.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(blocks))).groupBy("dim", "block").applyInArrow(block, "dim int, block long, data binary")
-    slices = -(-blocks // 8)
+    slices = -(-blocks // SLICE_BLOCKS)
     asked = indexed.select("shard", "dim").join(queries, "dim").select("shard", "dim", F.pmod("block", F.lit(slices)).alias("slice"), F.lit(1).alias("kind"), "data")
     held = indexed.select("shard", "dim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))).alias("slice"), F.lit(0).alias("kind"), "data")
     stream = held.unionByName(asked).repartition(shards * slices, "shard", "dim", "slice").sortWithinPartitions("shard", "dim", "slice", "kind")
@@ -177,7 +183,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, rerank: int = 100
 
     found = stream.select("kind", "data").mapInArrow(search, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = stored(found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+    dropped(points, classes, indexed)
+    return out
 
 
 def _scan(who: np.ndarray, q: np.ndarray, ids: np.ndarray, at: np.ndarray, raw: np.ndarray, coded: tuple | None, quantiser: Quantiser | None, k: int, rerank: int) -> list[tuple[int, int, float]]:
@@ -187,8 +195,8 @@ def _scan(who: np.ndarray, q: np.ndarray, ids: np.ndarray, at: np.ndarray, raw:
     for lo in range(0, len(who), 32):
         part = q[lo : lo + 32]
         near = [np.arange(len(raw))] * len(part)
-        if quantiser is not None and len(raw) > rerank:
-            best, least = _bounded(part, half, *coded, quantiser, rerank)
+        if quantiser is not None:
+            best, least = _bounded(part, half, *coded, quantiser, min(rerank, len(raw) - 1))
             for i in range(len(part)):
                 top = _first(int(who[lo + i]), best[i], distances(raw[best[i]], part[i]), ids, at, k)[1]
                 most = top[-1] * (1 + 1e-9) if len(top) == k else np.inf

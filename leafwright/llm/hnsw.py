@@ -164,9 +164,11 @@ class Graph:
             beam[active, width:], sim[active, width:], fresh[active, width:] = -1, -2, False
         return beam, sim
 
-    def within(self, q: np.ndarray, bound: float, breadth: int = 16, margin: float = 0.05, audit: int = 16) -> np.ndarray:
-        """queries x vertices: which inner products of at least bound the graph finds. Beams widen for queries whose
-        beam holds nothing outside the margin, and for all if an audited query misses a vertex."""
+    def within(self, q: np.ndarray, bound: float, breadth: int = 16, margin: float = 0.05, audit: int = 16, widest: int = 64) -> np.ndarray:
+        """queries x vertices: which inner products of at least bound the graph finds. A query whose beam holds nothing
+        outside the margin lies in a dense group, all of which a beam would have to hold: it is multiplied with all
+        vertices instead. Beams of the others widen until no audited query misses a vertex; past `widest` they are
+        multiplied too."""
         n, m = len(self.v), len(q)
         hits = np.zeros((m, n), dtype=bool)
         start = np.full((m, 1), self.entry)
@@ -176,14 +178,14 @@ class Graph:
         probe = np.unique(np.linspace(0, m - 1, min(audit, m)).astype(int))
         truth = q[probe] @ self.v.T >= bound
         while len(todo):
-            part = np.zeros((len(todo), n), dtype=bool)
-            _, sim = self.search_level(q[todo], start[todo], 0, wide, part, bound)
-            hits[todo] |= part
-            full = (sim.shape[1] >= min(wide, n)) & (sim.min(axis=1) >= bound - margin)
-            if wide >= n:
-                return hits
-            missed = (truth & ~hits[probe]).any()
-            todo, wide = (np.arange(m), 2 * wide) if missed and not full.any() else (todo[full], 4 * wide)
-            if not len(todo) and (truth & ~hits[probe]).any():
-                todo = np.arange(m)
+            dense = np.ones(len(todo), dtype=bool)
+            if wide <= widest and wide < n:
+                part = np.zeros((len(todo), n), dtype=bool)
+                _, sim = self.search_level(q[todo], start[todo], 0, wide, part, bound)
+                hits[todo] |= part
+                dense = sim.min(axis=1) >= bound - margin
+            hits[todo[dense]] = q[todo[dense]] @ self.v.T >= bound
+            todo, wide = todo[~dense], 4 * wide
+            if not (truth & ~hits[probe]).any():
+                break
         return hits

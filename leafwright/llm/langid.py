@@ -5,13 +5,17 @@ that sample. A text is parsed against each automaton: phrases are longest matche
 mean low cross-entropy, so the language whose phrase count, times the bits that name a place in its sample, is
 smallest wins.
 
-The sample is bounded by `docs_per_language` times `chars_per_doc` characters a language, whatever the corpus; the
-prediction reads every whole text. Texts are lower-cased, letters stay, everything else becomes one separator.
-Parsing runs many stretches of `STRETCH` symbols side by side through one transition table; a phrase ends where its
-stretch ends.
+The sample is bounded by `docs_per_language` times `chars_per_doc` characters a language, whatever the corpus: a document
+gives stretches from its whole length, one from each of `STRETCHES` equal parts at a hashed place. The prediction reads
+every whole text. Texts are lower-cased, letters stay, everything else becomes one separator. Parsing runs many stretches
+of `STRETCH` symbols side by side; a phrase ends where its stretch ends.
+
+Transitions are kept sparse: each state's first one in two arrays, further ones in a hash table, all of the start state
+by letter. So memory follows the length of the samples, not the number of letters of a script.
 
 Defined results: null text, or text without a letter: `und`, score 0; no labelled text at all: every text is `und`;
-ties go to the label that sorts first; repeated rows get the same answer; other columns are ignored.
+ties go to the label that sorts first; repeated rows get the same answer; a null doc_id is never held out, and comes back
+as null; an empty table gives an empty table; other columns are ignored by `identify` and kept by `accepted`.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ from pyspark.sql import functions as F
 from leafwright.llm.flat import cuts
 
 STRETCH = 512
+#: Parts of a document that give a stretch each to the sample.
+STRETCHES = 8
 #: Characters that one pass holds at a time.
 PASS_CHARS = 1 << 20
 SEPARATOR, UNKNOWN = 1, 0
@@ -34,8 +40,8 @@ SEPARATOR, UNKNOWN = 1, 0
 PREDICTION = "doc_id long, lang_pred string, score double"
 
 
-def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
-    """Transitions (states x width) of the automaton of all substrings; state 0 is the start and 0 means no way on."""
+def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """Transitions of each state of the automaton of all substrings; state 0 is the start."""
     step: list[dict[int, int]] = [{}]
     link, size, last = [-1], [0], 0
     for c in symbols:
@@ -61,25 +67,75 @@ def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    table = np.zeros((len(step), width), dtype=np.int32)
-    for s, ways in enumerate(step):
-        for c, t in ways.items():
-            table[s, c] = t
-    return table
+    return step
+
+
+class Transitions:
+    """The transitions of several automata, whose states are numbered through. 0 stands for no way on."""
+
+    def __init__(self, automata: list[list[dict[int, int]]], width: int):
+        size = [len(a) for a in automata]
+        self.start = np.cumsum([0, *size[:-1]], dtype=np.int64)[: len(size)]
+        n = sum(size)
+        self.letter, self.to, self.several = np.full(n, -1, np.int32), np.zeros(n, np.int32), np.zeros(n, bool)
+        self.first = np.zeros((len(size), width), np.int32)
+        states, letters, ends = [], [], []
+        for k, steps in enumerate(automata):
+            base = int(self.start[k])
+            for c, t in steps[0].items():
+                self.first[k, c] = base + t
+            for s, ways in enumerate(steps):
+                more = iter(ways.items())
+                for c, t in more:
+                    self.letter[base + s], self.to[base + s] = c, base + t
+                    break
+                for c, t in more:
+                    states.append(base + s)
+                    letters.append(c)
+                    ends.append(base + t)
+        self.width = width
+        self.several[np.array(states, np.int64)] = True
+        keys = np.array(states, np.int64) * width + np.array(letters, np.int64)
+        self.bits = max(4, int(2 * len(keys) + 1).bit_length())
+        self.keys, self.ends = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        left, at = np.arange(len(keys)), self._slot(keys)
+        while len(left):  # one of the keys that want a free slot gets it, the others go on to the next
+            free = self.keys[at[left]] < 0
+            self.keys[at[left[free]]] = keys[left[free]]
+            got = self.keys[at[left]] == keys[left]
+            self.ends[at[left[got]]] = np.array(ends, np.int32)[left[got]]
+            left = left[~got]
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def follow(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Where state goes with c; both flat, of one length."""
+        out = np.where(self.letter[state] == c, self.to[state], 0)
+        left = np.flatnonzero((out == 0) & self.several[state])
+        keys = state[left].astype(np.int64) * self.width + c[left]
+        at = self._slot(keys)
+        while len(left):
+            found = self.keys[at]
+            hit = found == keys
+            out[left[hit]] = self.ends[at[hit]]
+            on = ~hit & (found >= 0)
+            left, keys, at = left[on], keys[on], (at[on] + 1) & ((1 << self.bits) - 1)
+        return out
 
 
 class CrossParser:
     def __init__(self, samples: dict[str, str]):
         self.languages = sorted(samples)
         letters = sorted({c for x in samples.values() for c in x.lower() if c.isalpha()})
-        self.symbol = np.full(0x110000, SEPARATOR, dtype=np.uint16)
+        self.symbol = np.full(0x110000, SEPARATOR, dtype=np.int32)
         self.symbol[[i for i in range(0x110000) if chr(i).isalpha()]] = UNKNOWN
         for k, c in enumerate(letters, start=2):
             self.symbol[ord(c)] = k
-        self.width = len(letters) + 2
-        tables = [suffix_automaton([int(s) for s in self.symbols([samples[x]])[0] if s != UNKNOWN], self.width) for x in self.languages]
-        self.base = np.cumsum([0, *(t.size for t in tables[:-1])], dtype=np.int64)[:, None] if tables else np.zeros((0, 1), np.int64)
-        self.table = np.concatenate([t.ravel() for t in tables]) if tables else np.zeros(0, np.int32)
+        automata = [suffix_automaton([int(s) for s in self.symbols([samples[x]])[0] if s != UNKNOWN]) for x in self.languages]
+        self.ways = Transitions(automata, len(letters) + 2)
         self.bits = np.log2([len(samples[x]) + 2 for x in self.languages])
 
     def symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,15 +163,16 @@ class CrossParser:
         order = np.argsort(-size, kind="stable")
         start, size, text = start[order], size[order], text[order]
         active = np.searchsorted(-size, -np.arange(STRETCH), side="left")
-        state = np.zeros((len(self.languages), len(start)), dtype=np.int64)
+        state = np.repeat(self.ways.start[:, None], len(start), axis=1).astype(np.int32)
         missed = np.zeros(state.shape, dtype=np.int64)
         for t in range(int(size[0]) if len(size) else 0):
             n = active[t]
             c = s[start[:n] + t]
-            to = self.table[self.base + state[:, :n] * self.width + c]
+            to = self.ways.follow(state[:, :n].ravel(), np.tile(c, len(self.languages))).reshape(len(self.languages), n)
             miss = to == 0
             missed[:, :n] += miss
-            state[:, :n] = np.where(miss, self.table[self.base + c], to)
+            begin = self.ways.first[:, c]
+            state[:, :n] = np.where(miss, np.where(begin == 0, self.ways.start[:, None], begin), to)
         out = np.zeros((len(texts), len(self.languages)), dtype=np.int64)
         for k in range(len(self.languages)):
             out[:, k] = np.bincount(text, weights=missed[k] + 1, minlength=len(texts))
@@ -133,14 +190,37 @@ class CrossParser:
         return [self.languages[b] if k else "und" for b, k in zip(best, known, strict=True)], score
 
 
+#: Parsers by their samples; a Python worker builds one and keeps it for its later tasks.
+_BUILT: dict[tuple, CrossParser] = {}
+
+
+def _parser(samples: dict[str, str]) -> CrossParser:
+    key = tuple(sorted(samples.items()))
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = CrossParser(samples)
+    return _BUILT[key]
+
+
+def stretches(text: Column, seed: Column, chars: int, parts: int = STRETCHES) -> Column:
+    """At most `chars` characters of a text: all of it, or one stretch from each of so many equal parts of its length."""
+    each = chars // parts
+    room = F.floor(F.length(text) / parts).cast("int") - each  # what is free in each part
+    begin = lambda i: i * (room + each) + F.pmod(F.xxhash64(seed, i), room + 1).cast("int") + 1
+    cut = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.substring(text, begin(i), F.lit(each)))
+    return F.when(F.length(text) <= chars, text).otherwise(F.array_join(cut, " "))
+
+
 def sample(docs: DataFrame, docs_per_language: int = 96, chars_per_doc: int = 800) -> dict[str, str]:
-    """The learning text of each language; docs: the labelled rows that may be learned from."""
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text")
+    """The learning text of each language; docs: the labelled rows that may be learned from. What reaches the driver is
+    at most docs_per_language * chars_per_doc characters for each distinct label."""
+    rank = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
     rows = (
         docs.where("lang is not null and text is not null")
-        .select("doc_id", F.col("lang").cast("string"), F.substring("text", 1, chars_per_doc).alias("text"))
+        .select("doc_id", F.col("lang").cast("string"), "text", F.xxhash64("doc_id", "text").alias("h"))
         .withColumn("nth", F.row_number().over(rank))
         .where(F.col("nth") <= docs_per_language)
+        .select("lang", "nth", stretches(F.col("text"), F.col("h"), chars_per_doc).alias("text"))
         .collect()
     )
     out: dict[str, str] = {}
@@ -154,7 +234,7 @@ def predict(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(samples)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = CrossParser(sent.value)
+        parser = _parser(sent.value)
         for batch in batches:
             texts = batch.column(1)
             size = np.asarray(pa.compute.fill_null(pa.compute.utf8_length(texts), 0))
@@ -184,7 +264,7 @@ def accepted(docs: DataFrame, folds: int = 5) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(sample(docs.where(~held_out(folds=folds))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = CrossParser(sent.value)
+        parser = _parser(sent.value)
         for batch in batches:
             at, lang_at = batch.schema.get_field_index("text"), batch.schema.get_field_index("lang")
             size = np.asarray(pa.compute.fill_null(pa.compute.utf8_length(batch.column(at)), 0))

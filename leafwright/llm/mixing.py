@@ -8,14 +8,14 @@ v, w trade mass (p up by d/v, q down by d/w, or the reverse, with odds that keep
 words of a pair stay exactly the same in each trade. Documents are dealt by hash into leaves of bounded size; a leaf
 works through its documents in the order of size and leaves one fractional document; those residuals meet in a tree
 of bounded fan-in until each source has one, which an unbiased draw settles. What a source then misses of its target
-is less than one document; `settle` trades it away with documents near that size, of which the leaves have kept one
-per power of two.
+is less than one document; `settle` trades it away with documents near that size, a few per power of two. That last step
+is deterministic: it moves a handful of documents a source, whose chances are then no longer exactly their fractions.
 
 All draws come from hashes of (seed, doc_id), so reruns and other partitionings agree.
 
 Defined results: a null text has size 0 and is taken 0 words; the null source is a source and sorts last; repeated
-rows count as documents; a source of size 0 takes nothing; an empty table gives an empty table; other columns are
-ignored.
+rows count as documents; null doc_ids are documents like others and come back as null; a source of size 0 takes nothing;
+a text of any length is one document of that many words; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,12 +27,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafwright.llm.runtime import stored
+from leafwright.llm.runtime import dropped, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 
-NODE = "source string, leaf long, home long, doc_id long, nth int, size long, p double"
-LEAF = "source string, leaf long, doc_id long, nth int, size long, rate double, copies long, p double"
+#: doc is doc_id, or 0 with unnamed = true: pandas would turn longs beside a null into floats.
+NODE = "source string, leaf long, home long, doc long, nth int, size long, p double"
+LEAF = "source string, leaf long, doc long, unnamed boolean, nth int, size long, rate double, copies long, p double"
 
 
 def word_count(text: Column | str) -> Column:
@@ -108,13 +109,13 @@ def _node(seed: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
 
     def node(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["size", "home"], ascending=[False, True], kind="stable", ignore_index=True)
-        draw = _draw(seed, rows["doc_id"].to_numpy(), rows["home"].to_numpy())
+        draw = _draw(seed, rows["doc"].to_numpy(), rows["home"].to_numpy())
         p = rows["p"].tolist()
         rest = pivot(p, rows["size"].tolist(), draw.tolist())
         if last and rest >= 0:
             p[rest] = float(draw[rest] < p[rest])
         rows["p"] = p
-        return rows[["source", "leaf", "home", "doc_id", "nth", "size", "p"]]
+        return rows[["source", "leaf", "home", "doc", "nth", "size", "p"]]
 
     return node
 
@@ -131,32 +132,34 @@ def mix(docs: DataFrame, seed: int = 20_240, leaf_rows: int = 4_000, fan_in: int
     rated = sized.join(plan, F.col("source").eqNullSafe(F.col("of"))).select(
         "source",
         F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), "leaves").alias("leaf"),
-        "doc_id",
+        F.coalesce("doc_id", F.lit(0)).alias("doc"),
+        F.col("doc_id").isNull().alias("unnamed"),
         "size",
         F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0).alias("rate"),
     )
 
     def leaf(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable", ignore_index=True)
+        rows = rows.sort_values(["size", "unnamed", "doc"], ascending=[False, True, True], kind="stable", ignore_index=True)
         rows["nth"] = np.arange(len(rows), dtype=np.int32)
         whole = np.floor(rows["rate"].to_numpy())
         p = np.where(rows["size"] > 0, rows["rate"] - whole, 0.0).tolist()
-        rest = pivot(p, rows["size"].tolist(), _draw(seed, rows["doc_id"].to_numpy(), rows["nth"].to_numpy()).tolist())
+        rest = pivot(p, rows["size"].tolist(), _draw(seed, rows["doc"].to_numpy(), rows["nth"].to_numpy()).tolist())
         rows["copies"] = (whole + np.array([0 if i == rest else x for i, x in enumerate(p)])).astype(np.int64)
         rows["p"] = np.nan
         if rest >= 0:
             rows.loc[rest, "p"] = p[rest]
-        return rows[["source", "leaf", "doc_id", "nth", "size", "rate", "copies", "p"]]
+        return rows[["source", "leaf", "doc", "unnamed", "nth", "size", "rate", "copies", "p"]]
 
     leaves = stored(rated.groupBy("source", "leaf").applyInPandas(leaf, LEAF))
-    nodes = leaves.where("p is not null and not isnan(p)").select("source", "leaf", F.col("leaf").alias("home"), "doc_id", "nth", "size", "p")
+    nodes = leaves.where("p is not null and not isnan(p)").select("source", "leaf", F.col("leaf").alias("home"), "doc", "nth", "size", "p")
     decided = None
-    height = 0
+    height, written = 0, [sized]
     most_leaves = plan.agg(F.max("leaves")).first()[0] or 1
     while True:
         last = most_leaves <= fan_in ** (height + 1)
         nodes = nodes.withColumn("leaf", F.floor(F.col("leaf") / fan_in).cast("long"))
         out = stored(nodes.groupBy("source", "leaf").applyInPandas(_node(seed + 1 + height, last), NODE))
+        written.append(out)
         done = out.where("p in (0.0, 1.0)")
         decided = done if decided is None else decided.unionByName(done)
         if last:
@@ -164,19 +167,22 @@ def mix(docs: DataFrame, seed: int = 20_240, leaf_rows: int = 4_000, fan_in: int
         nodes, height = out.where("p not in (0.0, 1.0)"), height + 1
     settled = decided.select(F.col("source").alias("s"), "home", F.col("nth").alias("n"), F.col("p").cast("long").alias("extra"))
     same = F.col("source").eqNullSafe(F.col("s")) & (F.col("leaf") == F.col("home")) & (F.col("nth") == F.col("n"))
-    taken = leaves.join(settled, same, "left").select("source", "doc_id", "leaf", "nth", "size", "rate", (F.col("copies") + F.coalesce("extra", F.lit(0))).alias("copies"))
-    taken = settle(taken, plan, most)
-    return taken.join(plan, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "size", "source_size", "source", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    taken = leaves.join(settled, same, "left").select("source", "doc", "unnamed", "leaf", "nth", "size", "rate", (F.col("copies") + F.coalesce("extra", F.lit(0))).alias("copies"))
+    taken = stored(settle(taken, plan, most, seed))
+    dropped(leaves, *written)
+    out = taken.join(plan, F.col("source").eqNullSafe(F.col("of")))
+    return out.select(F.when(~F.col("unnamed"), F.col("doc")).alias("doc_id"), "size", "source_size", "source", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-def settle(taken: DataFrame, plan: DataFrame, most: int) -> DataFrame:
-    """Trades a source's remaining gap away. Each source keeps, for each power of two, one document that may take a
-    copy more and one that may take a copy less; from the largest down, those that narrow the gap are used."""
+def settle(taken: DataFrame, plan: DataFrame, most: int, seed: int, offered: int = 4) -> DataFrame:
+    """Trades a source's remaining gap away. Each source offers, for each power of two, a few documents that may take a
+    copy more and a few that may take a copy less; from the largest down, those that narrow the gap are used."""
     up = F.col("copies") < F.least(F.ceil("rate"), F.lit(most))
     down = F.col("copies") > F.floor("rate")
-    key = F.struct(F.xxhash64("doc_id", "nth").alias("h"), "leaf", "nth", "size")
-    binned = taken.where((F.col("size") > 0) & (up | down)).select("source", F.floor(F.log2("size")).cast("int").alias("bin"), F.when(up, 1).otherwise(-1).alias("way"), key.alias("k"))
-    offers = binned.groupBy("source", "bin", "way").agg(F.min("k").alias("k")).groupBy("source").agg(F.sort_array(F.collect_list(F.struct(F.col("k.size").alias("size"), "way", "k.leaf", "k.nth")), asc=False).alias("offers"))
+    binned = taken.where((F.col("size") > 0) & (up | down)).select("source", "leaf", "nth", "size", F.floor(F.log2("size")).cast("int").alias("bin"), F.when(up, 1).otherwise(-1).alias("way"), F.xxhash64("doc", "nth", F.lit(seed)).alias("h"))
+    nth = F.row_number().over(Window.partitionBy("source", "bin", "way").orderBy("h", "leaf", "nth"))  # a partial limit comes before the shuffle
+    few = binned.withColumn("offer", nth).where(F.col("offer") <= offered)
+    offers = few.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("size", "way", "leaf", "nth")), asc=False).alias("offers"))
     gaps = taken.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("has")).withColumnRenamed("source", "s")
     start = F.struct((F.col("target") - F.col("has")).alias("gap"), F.array().cast("array<struct<size:bigint,way:int,leaf:bigint,nth:int>>").alias("used"))
 

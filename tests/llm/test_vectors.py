@@ -59,7 +59,7 @@ def test_graph_finds_dense_groups():
 
 def test_nearest(spark):
     x = vectors(2, 2500)
-    got = ann.nearest(spark.createDataFrame(rows(x), SCHEMA), F.col("vec_id") % 100 == 0, rerank=60, shards=2).toPandas()
+    got = ann.nearest(spark.createDataFrame(rows(x), SCHEMA), F.col("vec_id") % 100 == 0, rerank=60, shard_rows=1250).toPandas()
     y, hit, n = x.astype(np.float64), 0, 0
     assert not set(got.query_id) & {1000, 1100, 1200} - set(range(2500))
     for i in range(0, 2500, 100):
@@ -83,7 +83,7 @@ def test_nearest_with_copies_is_exact(spark):
     x[np.r_[700:1200]] = x[700]
     x[1300:2100] = x[1300] + (1e-3 * rng.normal(size=(800, 32))).astype(np.float32)
     data = [(i, [float(v) for v in x[i]], 0) for i in range(len(x))] + [(701, [float(v) for v in x[701]], 0)]
-    got = ann.nearest(spark.createDataFrame(data, SCHEMA), F.col("vec_id") % 100 == 0, shards=2).toPandas()
+    got = ann.nearest(spark.createDataFrame(data, SCHEMA), F.col("vec_id") % 100 == 0, shard_rows=1250).toPandas()
     y, who = np.vstack([x, x[701:702]]).astype(np.float64), np.array([r[0] for r in data])
     for i in range(0, 2500, 100):
         d = ann.distances(y, y[i])
