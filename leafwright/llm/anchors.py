@@ -2,17 +2,16 @@
 
 A unit is a byte or a word; a window is `length` consecutive units of one text. The smallest `k`-gram hash inside a
 window is its anchor: equal windows have equal anchors at equal places. So all copies of a window meet where their
-anchor's hash is dealt to, and what has no partner leaves early. Four steps, each with bounded tasks:
+anchor's hash is dealt to, and what has no partner leaves early. Documents are dealt into groups by hash; four steps:
 
-1. `_announce`: every text's anchors, as packed arrays by hash bucket; a bucket answers which hashes occur twice, to
-   each group of documents that has them.
+1. `_announce`: a row (anchor hash, group) for each group of documents that has it, counted; hashes that occur twice go on.
 2. `_contexts`: in those groups, the text around each such anchor: all units of the windows that it is the anchor of.
-   Equal contexts of a group are one entry.
+   One row for each distinct context of a group, and one row for the group with the places of all of them.
 3. `resolve` (the operator's own method): within one anchor's distinct contexts, which windows are repeats.
-4. `_apply`: each text gets its repeated windows.
+4. the last step: each group looks up its contexts and gives each text its repeated windows.
 
-Buckets and groups follow from hashes, and their number from the size of the input. An anchor that a third of all
-texts share costs a bucket a few bytes an occurrence, since its equal contexts are one.
+Every row count above grows with the input alone, and an anchor that a third of all texts share is one row a group, not
+one an occurrence. Groups and buckets follow from hashes, their number from the size of the input.
 """
 
 from __future__ import annotations
@@ -23,13 +22,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafwright.llm import flat
-from leafwright.llm.runtime import dropped, partitions_for, stored
+from leafwright.llm.runtime import dropped, groups_for, stored
 
-#: Bytes of text that one pass of array operations takes, and that one packed row stands for.
+#: Bytes of text that one pass of array operations takes, and for which anchors are counted before they are sent.
 PASS_BYTES, PACK_BYTES = 1 << 19, 32 << 20
 #: Window starts of a long text that one pass takes.
 STRETCH = 1 << 19
@@ -104,23 +103,24 @@ def _passes(batch: pa.RecordBatch | pa.Table, windows: Windows, column: str = "t
         yield a, *windows.units(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
 
 
-def _announce(keyed: DataFrame, windows: Windows, buckets: int) -> DataFrame:
+def _announce(keyed: DataFrame, windows: Windows) -> DataFrame:
+    """h, g: the anchor hashes that occur more than once, by the groups that have them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def rows() -> pa.RecordBatch:
             h, g = (np.concatenate([x[i] for x in held]) for i in (0, 1))
-            b = (h % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(b, kind="stable")
-            h, g, edge = h[order], g[order], np.searchsorted(b[order], np.arange(buckets + 1))
             held.clear()
-            some = [k for k in range(buckets) if edge[k] < edge[k + 1]]
-            blobs = [h[edge[k] : edge[k + 1]].tobytes() + g[edge[k] : edge[k + 1]].tobytes() for k in some]
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "data"])
+            order = np.lexsort((g, h))
+            h, g = h[order], g[order]
+            first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])]))
+            n = np.diff(np.append(first, len(h)))
+            return pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(g[first]), pa.array(np.minimum(n, 2).astype(np.int8))], ["h", "g", "n"])
 
         for batch in batches:
-            groups = batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint32)
+            groups = batch.column(0).to_numpy(zero_copy_only=False)
             for row, data, _, _, hashes, offsets in _passes(batch, windows):
                 for text, h, _, _ in windows.anchors(hashes, offsets):
                     if windows.words:
@@ -136,38 +136,23 @@ def _announce(keyed: DataFrame, windows: Windows, buckets: int) -> DataFrame:
         if held:
             yield rows()
 
-    def answer(rows: pa.Table) -> pa.Table:
-        h, g = [], []
-        for blob in rows.column("data").to_pylist():
-            n = len(blob) // 12
-            h.append(np.frombuffer(blob, np.uint64, n))
-            g.append(np.frombuffer(blob, np.uint32, n, 8 * n))
-        h, g = np.concatenate(h), np.concatenate(g)
-        order = np.argsort(h)
-        h, g = h[order], g[order]
-        same = np.zeros(len(h), dtype=bool)
-        same[1:] = h[1:] == h[:-1]
-        same[:-1] |= same[1:].copy()
-        h, g = h[same], g[same]
-        order = np.lexsort((h, g))
-        h, g = h[order], g[order]
-        once = np.ones(len(h), dtype=bool)
-        once[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
-        h, g = h[once], g[once]
-        to, edge = np.unique(g, return_index=True)
-        edge = np.append(edge, len(g))
-        return pa.table({"g": pa.array(to, pa.int64()), "data": pa.array([h[a:b].tobytes() for a, b in zip(edge, edge[1:], strict=False)], pa.binary())})
-
-    return keyed.select("g", "text").mapInArrow(run, "bucket long, data binary").groupBy("bucket").applyInArrow(answer, "g long, data binary")
-
-
-def _contexts(keyed: DataFrame, wanted: DataFrame, windows: Windows, buckets: int) -> DataFrame:
-    """Packed rows by bucket: (g, contexts, their anchors, and of each occurrence context, doc_id, tie, first unit)."""
+    sent = keyed.select("g", "text").mapInArrow(run, "h long, g long, n byte")
+    times = F.sum("n").over(Window.partitionBy("h"))
+    return sent.withColumn("times", times).where("times > 1").select("h", "g")
+
+
+#: Rows of `_contexts`: a context of a group (id from 0), or with id -1 the places of all its contexts.
+CONTEXT = "g long, id int, h long, text binary, least long, times int, places binary"
+
+
+def _contexts(keyed: DataFrame, wanted: DataFrame, windows: Windows) -> DataFrame:
+    """The distinct contexts of each group with the smallest document and the number of their occurrences, and packed:
+    context, doc, tie and first unit of each occurrence."""
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        out: dict[int, list] = {}
+        columns: list[list] = [[] for _ in range(7)]
         if docs.num_rows and answers.num_rows:
-            want = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in answers.column("data").to_pylist()]))
+            want = np.unique(answers.column("h").to_numpy().view(np.uint64))
             group = docs.column("g")[0].as_py()
             ids, ties = (docs.column(c).to_numpy() for c in ("doc", "tie"))
             known: dict[bytes, int] = {}
@@ -191,20 +176,20 @@ def _contexts(keyed: DataFrame, wanted: DataFrame, windows: Windows, buckets: in
                     which.append(at)
                     place.append((text + row, first - offsets[text]))
             if known:
-                texts, anchors, at = list(known), np.concatenate(anchor), np.concatenate(which)
+                n, at = len(known), np.concatenate(which)
                 row, start = (np.concatenate([p[i] for p in place]) for i in (0, 1))
-                bucket = (anchors % np.uint64(buckets)).astype(np.int64)
-                of = bucket[at]
-                order = np.argsort(of, kind="stable")
-                at, row, start, of = at[order], row[order], start[order], of[order]
-                edge = np.searchsorted(of, np.arange(buckets + 1))
-                for b in np.unique(bucket).tolist():
-                    s = slice(edge[b], edge[b + 1])
-                    mine, local = np.unique(at[s], return_inverse=True)
-                    out[b] = packed((group, [texts[i] for i in mine.tolist()], anchors[mine], local.astype(np.uint32), ids[row[s]], ties[row[s]], start[s]))
-        return pa.table({"bucket": pa.array(list(out), pa.int64()), "data": pa.array(list(out.values()), pa.binary())})
+                least = np.full(n, NONE, np.int64)
+                np.minimum.at(least, at, ids[row])
+                places = packed((at.astype(np.uint32), ids[row], ties[row], start))
+                nobody = [None]
+                columns = [
+                    [group] * (n + 1), [*range(n), -1], [*np.concatenate(anchor).view(np.int64).tolist(), None], [*known, None],
+                    [*least.tolist(), None], [*np.minimum(np.bincount(at, minlength=n), 2).tolist(), None], nobody * n + [places],
+                ]
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary())
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["g", "id", "h", "text", "least", "times", "places"])
 
-    return keyed.groupBy("g").cogroup(wanted.groupBy("g")).applyInArrow(run, "bucket long, data binary")
+    return keyed.groupBy("g").cogroup(wanted.groupBy("g")).applyInArrow(run, CONTEXT)
 
 
 #: For each context of one anchor a bound by window: the window is removed from documents above its bound.
@@ -212,57 +197,44 @@ Resolver = Callable[[list[bytes], list[int], list[int]], list[np.ndarray]]
 NONE, ALL = (1 << 63) - 1, -(1 << 63)
 
 
-def _resolved(contexts: DataFrame, windows: Windows, resolve: Resolver) -> DataFrame:
-    """Packed rows by group of documents: (doc_id, tie, first and last removed window start)."""
+def _resolved(contexts: DataFrame, windows: Windows, resolve: Resolver, buckets: int) -> DataFrame:
+    """g, id, from, until, bound: of a group's context, the windows from and up to until are removed from documents
+    above the bound. Bounds that remove nothing are left out."""
 
     def run(rows: pa.Table) -> pa.Table:
+        group, id_, own, many = (rows.column(c).to_numpy() for c in ("g", "id", "least", "times"))
         known: dict[bytes, int] = {}
-        anchors, of, group, ids, ties, start = ([] for _ in range(6))
-        for blob in rows.column("data").to_pylist():
-            g, texts, anchor, which, doc, tie, first = unpacked(blob)
-            size = len(known)
-            at = np.array([known.setdefault(t, len(known)) for t in texts], dtype=np.int64)
-            anchors.append(anchor[_firsts(at, size)])
-            of.append(at[which])
-            group.append(np.full(len(which), g, np.int64))
-            ids.append(doc)
-            ties.append(tie)
-            start.append(first)
+        of = np.array([known.setdefault(t, len(known)) for t in rows.column("text").to_pylist()], dtype=np.int64)
         texts = list(known)
-        anchors, of, group, ids, ties, start = map(np.concatenate, (anchors, of, group, ids, ties, start))
-        least = np.full(len(texts), NONE, np.int64)
-        np.minimum.at(least, of, ids)
-        times = np.bincount(of, minlength=len(texts))
-        bounds = _bounds(texts, anchors, least, times, windows, resolve)
-        g_, d_, t_, a_, b_ = [], [], [], [], []
-        plain = np.array([len(b) == 1 for b in bounds])
-        size = np.array([b.size if b.size > 1 else 0 for b in bounds])
-        level = np.array([b[0] for b in bounds])
+        anchors = np.zeros(len(texts), np.uint64)
+        anchors[of] = rows.column("h").to_numpy().view(np.uint64)
+        least, times = np.full(len(texts), NONE, np.int64), np.zeros(len(texts), np.int64)
+        np.minimum.at(least, of, own)
+        np.add.at(times, of, many)
+        own, special = _bounds(texts, anchors, least, times, windows, resolve)
         count = _window_counts(texts, windows)
-        hit = plain[of] & (level[of] < ids)
-        for to, x in ((g_, group), (d_, ids), (t_, ties), (a_, start)):
-            to.append(x[hit])
-        b_.append(start[hit] + count[of[hit]] - 1)
-        for i in np.flatnonzero(size[of] > 0).tolist():
-            on = np.flatnonzero(np.diff(np.concatenate([[0], bounds[of[i]] < ids[i], [0]])))
-            for a, b in zip(on[::2].tolist(), on[1::2].tolist(), strict=True):
-                for to, x in ((g_, group[i]), (d_, ids[i]), (t_, ties[i]), (a_, start[i] + a), (b_, start[i] + b - 1)):
-                    to.append(np.array([x]))
-        g, d, t, a, b = map(np.concatenate, (g_, d_, t_, a_, b_))
-        order = np.argsort(g, kind="stable")
-        g, d, t, a, b = g[order], d[order], t[order], a[order], b[order]
-        to, edge = np.unique(g, return_index=True)
-        edge = np.append(edge, len(g))
-        blobs = [packed(tuple(x[lo:hi] for x in (d, t, a, b))) for lo, hi in zip(edge, edge[1:], strict=False)]
-        return pa.table({"g": pa.array(to, pa.int64()), "data": pa.array(blobs, pa.binary())})
-
-    return contexts.groupBy("bucket").applyInArrow(run, "g long, data binary")
-
-
-def _firsts(at: np.ndarray, size: int) -> np.ndarray:
-    """Where the numbers from size on first occur, in their order."""
-    fresh, where = np.unique(at, return_index=True)
-    return where[fresh >= size]
+        plain = (times > 1) & (own < NONE)  # what occurs once as a whole loses nothing as a whole
+        plain[list(special)] = False
+        whole = np.flatnonzero(plain)
+        of_text, first, until, bound = [whole], [np.zeros(len(whole), np.int64)], [count[whole]], [own[whole]]
+        for k, b in special.items():
+            at = np.append(0, np.flatnonzero(np.diff(b)) + 1)
+            some = b[at] < NONE
+            of_text.append(np.full(int(some.sum()), k))
+            first.append(at[some])
+            until.append(np.append(at[1:], count[k])[some])
+            bound.append(b[at][some])
+        of_text, first, until, bound = map(np.concatenate, (of_text, first, until, bound))
+        order = np.argsort(of_text, kind="stable")
+        first, until, bound = first[order], until[order], bound[order]
+        n = np.bincount(of_text, minlength=len(texts))
+        begin = np.cumsum(n) - n
+        row = np.repeat(np.arange(len(of)), n[of])
+        at = np.arange(len(row)) - np.repeat(np.cumsum(n[of]) - n[of], n[of]) + begin[of[row]]
+        return pa.table({"g": group[row], "id": id_[row], "from": first[at], "until": until[at], "bound": bound[at]})
+
+    dealt = contexts.where("id >= 0").select("g", "id", "h", "text", "least", "times", F.pmod("h", F.lit(buckets)).alias("bucket"))
+    return dealt.groupBy("bucket").applyInArrow(run, "g long, id int, from long, until long, bound long")
 
 
 def _window_counts(texts: list[bytes], windows: Windows) -> np.ndarray:
@@ -270,11 +242,12 @@ def _window_counts(texts: list[bytes], windows: Windows) -> np.ndarray:
     return np.array(units, dtype=np.int64) - windows.length + 1
 
 
-def _bounds(texts: list[bytes], anchors: np.ndarray, least: np.ndarray, times: np.ndarray, windows: Windows, resolve: Resolver) -> list[np.ndarray]:
-    """Each context's bounds: one for all its windows, or one each. Only contexts of an anchor that share a window
-    (by hash, a superset of what the exact method finds) with another context are given to it."""
+def _bounds(texts: list[bytes], anchors: np.ndarray, least: np.ndarray, times: np.ndarray, windows: Windows, resolve: Resolver) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Each context's bound as a whole, and by context the bounds of its windows where those are not the same. Only
+    contexts of an anchor that share a window (by hash, a superset of what the exact method finds) with another context
+    are given to that method."""
     own = least if not windows.words else np.where(times > 1, ALL, NONE)
-    bounds: list[np.ndarray] = list(own[:, None])
+    bounds: dict[int, np.ndarray] = {}
     order = np.argsort(anchors, kind="stable")
     a = anchors[order]
     crowd = np.zeros(len(a), dtype=bool)
@@ -282,7 +255,7 @@ def _bounds(texts: list[bytes], anchors: np.ndarray, least: np.ndarray, times: n
     crowd[:-1] |= crowd[1:].copy()
     several = np.sort(order[crowd])
     if not len(several):
-        return bounds
+        return own, bounds
     sharing: list[np.ndarray] = []
     keys: list[np.ndarray] = []
     nth: list[np.ndarray] = []
@@ -319,28 +292,44 @@ def _bounds(texts: list[bytes], anchors: np.ndarray, least: np.ndarray, times: n
         for i, b in zip(mine, resolve(cut, [int(own[i]) for i in mine], [int(times[i]) for i in mine]), strict=True):
             bounds[i] = np.full(counts[i], own[i], np.int64)
             bounds[i][first[i] : last[i] + 1] = b
-    return bounds
+    return own, bounds
 
 
 def repeated(docs: DataFrame, windows: Windows, resolve: Resolver, finish: Callable[[pa.Table, dict], pa.Table], schema: str) -> DataFrame:
     """finish(rows, removed) makes the result of a group of documents; removed: window starts, first and last, by
     (doc_id, tie). rows has doc_id, tie, doc (doc_id with null as the largest) and text."""
-    buckets = partitions_for(docs)
+    groups = groups_for(docs)
     keyed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumns({"tie": F.xxhash64("text"), "doc": F.coalesce("doc_id", F.lit(NONE))})
-    keyed = keyed.withColumn("g", F.pmod(F.xxhash64("doc", "tie"), F.lit(buckets)))
-    wanted = stored(_announce(keyed, windows, buckets))
-    spans = stored(_resolved(_contexts(keyed.select("g", "doc", "tie", "text"), wanted, windows, buckets), windows, resolve))
+    keyed = keyed.withColumn("g", F.pmod(F.xxhash64("doc", "tie"), F.lit(groups)))
+    wanted = stored(_announce(keyed, windows))
+    contexts = stored(_contexts(keyed.select("g", "doc", "tie", "text"), wanted, windows))
     dropped(wanted)
+    bounds = stored(_resolved(contexts, windows, resolve, groups))
+    nothing = F.lit(None)
+    places = contexts.where("id = -1").select("g", nothing.cast("int").alias("id"), nothing.cast("long").alias("from"), nothing.cast("long").alias("until"), nothing.cast("long").alias("bound"), "places")
+    found = places.unionByName(bounds.withColumn("places", nothing.cast("binary")))
 
     def last(rows: pa.Table, found: pa.Table) -> pa.Table:
         removed: dict[tuple[int, int], list] = {}
-        for blob in found.column("data").to_pylist():
-            doc, tie, a, b = unpacked(blob)
-            for x in zip(doc.tolist(), tie.tolist(), a.tolist(), b.tolist(), strict=True):
-                removed.setdefault(x[:2], []).append(x[2:])
+        blobs = found.column("places").drop_null()
+        if rows.num_rows and len(blobs):
+            of, doc, tie, start = unpacked(blobs[0].as_py())
+            of = of.astype(np.int64)
+            known = found.filter(found.column("id").is_valid())
+            id_, first, until, bound = (known.column(c).to_numpy() for c in ("id", "from", "until", "bound"))
+            order = np.argsort(id_, kind="stable")
+            id_, first, until, bound = id_[order], first[order], until[order], bound[order]
+            lo, hi = np.searchsorted(id_, of), np.searchsorted(id_, of, side="right")
+            n = hi - lo
+            at = np.repeat(np.arange(len(of)), n)
+            rule = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + lo[at]
+            hit = bound[rule] < doc[at]
+            at, rule = at[hit], rule[hit]
+            for d, t, a, b in zip(doc[at].tolist(), tie[at].tolist(), (start[at] + first[rule]).tolist(), (start[at] + until[rule] - 1).tolist(), strict=True):
+                removed.setdefault((d, t), []).append((a, b))
         return finish(rows, removed)
 
-    return keyed.groupBy("g").cogroup(spans.groupBy("g")).applyInArrow(last, schema)
+    return keyed.groupBy("g").cogroup(found.groupBy("g")).applyInArrow(last, schema)
 
 
 def merged(windows: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:

@@ -3,17 +3,20 @@
 For every participant of a conversation the dialogue is rendered once with that speaker as the assistant, all others
 as named users, and spans that tell which characters are learned from. Only DataFrame functions are used.
 
-A rendered dialogue is cut into parts by turn number (`turns_per_part`), so that no cell and no task grows with the
-longest conversation: rows are grouped by (conversation, part), never by conversation. Who takes part is found by a
-pre-aggregated distinct over the whole conversation, so every part is rendered for every participant.
+A rendered dialogue is cut into parts of `turns_per_part` messages, counted over the conversation in its order, so that no
+cell and no task grows with the longest conversation. Messages are numbered by a sort of all rows by ranges: a message's
+number is its place in its range, less where its conversation begins there, plus the conversation's messages in earlier
+ranges. So null or equal turns, repeated rows and one conversation of any share of the rows spread like all others. Who
+takes part is found by a pre-aggregated distinct over the whole conversation, so every part is rendered for every
+participant; speakers meet parts by stretches of PART_STRETCH parts.
 
 Result, one row per conversation, participant and part:
 conv_id, perspective, part, n_messages, n_learned, rendered, mask_spans
 where mask_spans lists the learned characters of `rendered` as "from-to" (0-based, end excluded), comma-separated.
 
 Defined results: a null text is empty; a null role is the speaker `unknown`; a null conv_id is a conversation of its
-own; a null turn belongs to part 0 and comes after the numbered turns; equal turns are ordered by role, then text;
-repeated rows are rendered as often as they occur; context roles (system) are rendered as such in every perspective,
+own; null turns come after all numbered turns; equal turns are ordered by role, then text; repeated rows are rendered as
+often as they occur; texts of any length are rendered whole; context roles (system) are rendered as such in every perspective,
 are never learned from and have no perspective, so a conversation of context alone yields no row; the template's
 markers inside a text or name are broken by a space; other columns are ignored; an empty table gives an empty table.
 """
@@ -22,9 +25,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafwright.llm.runtime import partitions_for, stored
+
+#: Parts of a conversation that meet its speakers in one task.
+PART_STRETCH = 16
+
 
 @dataclass(frozen=True)
 class Template:
@@ -38,19 +46,34 @@ def _escaped(text: Column, template: Template) -> Column:
     return F.replace(text, F.lit(template.marker), F.lit(template.broken))
 
 
+def numbered(said: DataFrame) -> DataFrame:
+    """said with number, from 0, of each message in its conversation, by turn, role and text."""
+    order = ["conv_id", "turn", "role", "text"]
+    dealt = said.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(partitions_for(said), *order, "tie")
+    placed = stored(dealt.sortWithinPartitions(*order).drop("tie").withColumn("place", F.monotonically_increasing_id()).withColumn("range", F.shiftright("place", 33)))
+    found = placed.groupBy("range", "conv_id").agg(F.min("place").alias("begin"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    shift = found.select(F.col("range").alias("r"), F.col("conv_id").alias("c"), (F.coalesce(before, F.lit(0)) - F.col("begin")).alias("shift"))
+    both = placed.join(shift, (F.col("range") == F.col("r")) & F.col("conv_id").eqNullSafe(F.col("c")))
+    return both.select(*order, (F.col("place") + F.col("shift")).alias("number"))
+
+
 def rotate(turns: DataFrame, context_roles: tuple[str, ...] = ("system",), turns_per_part: int = 256, template: Template = Template()) -> DataFrame:
     """turns: conv_id, turn, role, text."""
-    said = turns.select(
-        "conv_id",
-        F.coalesce(F.floor(F.col("turn") / turns_per_part), F.lit(0)).cast("long").alias("part"),
-        F.coalesce("turn", F.lit((1 << 63) - 1)).alias("turn"),
-        F.coalesce("role", F.lit("unknown")).alias("role"),
-        F.coalesce("text", F.lit("")).alias("text"),
-    )
+    said = numbered(
+        turns.select(
+            "conv_id",
+            F.coalesce("turn", F.lit((1 << 63) - 1)).cast("long").alias("turn"),
+            F.coalesce("role", F.lit("unknown")).alias("role"),
+            F.coalesce("text", F.lit("")).alias("text"),
+        )
+    ).withColumn("part", F.floor(F.col("number") / turns_per_part).cast("long"))
     speakers = said.where(~F.col("role").isin(*context_roles)).groupBy("conv_id", "role").agg(F.count(F.lit(1)).alias("said"))
-    speakers = speakers.select(F.col("conv_id").alias("speaker_of"), F.col("role").alias("perspective"))
+    lengths = said.groupBy("conv_id").agg(F.max("part").alias("last")).withColumnRenamed("conv_id", "c")
+    stretches = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / PART_STRETCH)))
+    speakers = speakers.join(lengths, F.col("conv_id").eqNullSafe(F.col("c"))).select(F.col("conv_id").alias("speaker_of"), F.col("role").alias("perspective"), stretches.alias("of_stretch"))
     parts = said.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("messages"))
-    seen = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("speaker_of")))
+    seen = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("speaker_of")) & (F.floor(F.col("part") / PART_STRETCH) == F.col("of_stretch")))
 
     def head(m: Column) -> Column:
         other = F.concat(F.lit("user name="), _escaped(m["role"], template))
@@ -82,10 +105,11 @@ def rotate(turns: DataFrame, context_roles: tuple[str, ...] = ("system",), turns
 
 #: The same in SQL, for the default arguments.
 ROTATE_SQL = r"""
-with said as (
-  select conv_id, coalesce(cast(floor(turn / 256.0) as bigint), 0) part, coalesce(turn, 9223372036854775807) turn,
-         coalesce(role, 'unknown') as role, coalesce(text, '') as text
+with named as (
+  select conv_id, coalesce(turn, 9223372036854775807) turn, coalesce(role, 'unknown') as role, coalesce(text, '') as text
   from conversations),
+said as (
+  select *, cast((row_number() over (partition by conv_id order by turn, role, text) - 1) // 256 as bigint) as part from named),
 speakers as (select distinct conv_id c, role perspective from said where role <> 'system'),
 pieces as (
   select conv_id, perspective, part, turn, role, text, role = perspective as learned,

@@ -7,36 +7,43 @@ signature, so two documents agree in a coordinate with the probability of their
 times up to a bound that shrinks with the document's total weight are thrown; a document that leaves a coordinate empty
 is thrown again with the bound doubled.
 
-Documents with the same words are one class. Classes that share a band key are compared by their signatures (blocks of
-a bucket, each against each), which leaves a spanning forest of likely links: a few per class, never all pairs. Inside
-each tree's vertices, exact similarity decides: again block by block, a class is compared with those it is not yet
-connected to, and the links that are found join up the components. A link of similarity 0.8 shares a band with
-probability 1 - 5e-8; its estimate falls below `likely` with probability 1e-6.
+Documents with the same words are one class. Classes that share a band key are compared by their signatures, which leaves
+a spanning forest of likely links: a few per class, never all pairs. Exact similarity is then decided along the edges of
+that forest. Whatever shares a likely tree but is not joined up by true links so far is compared exactly, each class with
+those of other components only.
+
+A bucket or tree of many classes is cut into blocks. Its classes live in one block each; only those outside its largest
+component also visit the other blocks, so a large group of near copies, which one component holds, is never multiplied.
+A group of many classes that stay apart although they share a band or a likely tree is compared pair by pair, as exact
+results need. A link of similarity 0.8 shares a band with probability 1 - 5e-8; its estimate falls below `likely` with
+probability 1e-6.
 
 Weights are 1 for each distinct shingle ("set": plain Jaccard) or its number of occurrences ("count").
 
 Defined results: a text of fewer words than a shingle is one shingle; a text without words (null too) links with
-nothing; a null doc_id stays alone and is kept; rows with one doc_id are one document if their words agree and
-otherwise any of them may link it; an empty table gives an empty table; other columns are ignored.
+nothing; every row is a document, whatever its doc_id, and rows with one doc_id and one text get one answer; a null
+doc_id is larger than all others, and stays null where its component has no other; texts of any length are read whole; an
+empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafwright.llm import flat
 from leafwright.llm.components import components
-from leafwright.llm.runtime import dropped, partitions_for, stored
+from leafwright.llm.runtime import dropped, looked_up, partitions_for, stored
 
 #: Width of the first time band; each next one doubles the time.
 FIRST_BAND = 1 / 16
 PASS_BYTES = 1 << 19
-SKETCH = "doc_id long, f1 long, f2 long, bands array<long>, marks binary"
+SKETCH = "doc long, tie long, f1 long, f2 long, bands array<long>, marks binary"
+_LAST = (1 << 63) - 1
 
 
 def _unit(h: np.ndarray, shift: int = 11) -> np.ndarray:
@@ -135,13 +142,19 @@ def _fingerprints(h: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray,
     return out[0], out[1]
 
 
+def _identity(docs: DataFrame) -> DataFrame:
+    """doc (doc_id, null as the largest), tie and text of every row."""
+    text = F.col("text").cast("string")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).alias("tie"), text.alias("text"))
+
+
 def sketch(docs: DataFrame, words: int = 5, bands: int = 32, rows: int = 4, weight: str = "set") -> DataFrame:
-    """doc_id, fingerprint, band keys and one byte of each coordinate, of every document with words."""
+    """doc, tie, fingerprint, band keys and one byte of each coordinate of every row; no fingerprint without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = np.arange(1, bands + 1, dtype=np.uint64) << np.uint64(56)
         for batch in batches:
-            data, offsets = flat.text_bytes(batch.column(1))
+            data, offsets = flat.text_bytes(batch.column(2))
             for a, b in flat.cuts(np.diff(offsets), PASS_BYTES):
                 n = b - a
                 grams, of, h, text = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
@@ -155,27 +168,19 @@ def sketch(docs: DataFrame, words: int = 5, bands: int = 32, rows: int = 4, weig
                     for r in range(rows):
                         key = flat.mixed(key * np.uint64(0x9E3779B97F4A7C15) + signature.reshape(n, bands, rows)[:, :, r])
                     key = flat.mixed(key ^ salt)
-                some = np.bincount(of, minlength=n) > 0
-                at = np.flatnonzero(some)
-                keys = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * bands), pa.array(key[at].ravel().view(np.int64)))
-                marks = (signature[at] >> np.uint64(56)).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n).filter(pa.array(some)), pa.array(f1[at]), pa.array(f2[at]), keys, pa.array([m.tobytes() for m in marks], pa.binary())], ["doc_id", "f1", "f2", "bands", "marks"])
+                none = np.bincount(of, minlength=n) == 0
+                at = np.flatnonzero(~none)
+                keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(~none) * bands]).astype(np.int32)), pa.array(key[at].ravel().view(np.int64)))
+                marks = (signature >> np.uint64(56)).astype(np.uint8)
+                columns = [batch.column(0).slice(a, n), batch.column(1).slice(a, n), pa.array(f1, mask=none), pa.array(f2, mask=none), keys, pa.array([m.tobytes() for m in marks], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc", "tie", "f1", "f2", "bands", "marks"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null").mapInArrow(run, SKETCH)
+    return _identity(docs).mapInArrow(run, SKETCH)
 
 
-def _blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """Adds i and j: the rows of a key are dealt into blocks of about `size`, and each pair of blocks meets once. A row
-    of a key with one block appears once; of more blocks, once for each."""
-    n = rows.groupBy(key).agg(F.countDistinct("rep").alias("n")).where("n > 1").select(F.col(key).alias("_k"), F.ceil(F.col("n") / size).cast("int").alias("s"))
-    met = rows.join(n, F.col(key) == F.col("_k")).drop("_k").withColumn("own", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("s")).cast("int"))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-    return met.select(*rows.columns, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-
-
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Whole groups out of batches that are sorted by keys: tables that end where a group ends."""
-    held: list[pa.RecordBatch] = []
+def _parts(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[bool, pa.RecordBatch]]:
+    """Batches that are sorted by keys, cut where a key changes; whether a part begins another group than the one before."""
+    last = None
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -183,73 +188,156 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         new = np.zeros(batch.num_rows, dtype=bool)
         for c in cols:
             new[1:] |= c[1:] != c[:-1]
-        at = np.flatnonzero(new)
-        if held:
-            last = held[-1]
-            if any(last.column(k)[last.num_rows - 1].as_py() != batch.column(k)[0].as_py() for k in keys):
-                at = np.append(0, at)
-        if len(at):
-            cut = int(at[-1])
-            held.append(batch.slice(0, cut))
+        at = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        for lo, hi in zip(at, at[1:], strict=False):
+            now = tuple(c[lo] for c in cols)
+            yield now != last, batch.slice(lo, hi - lo)
+            last = now
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Whole groups out of batches that are sorted by keys."""
+    held: list[pa.RecordBatch] = []
+    for new, part in _parts(batches, keys):
+        if new and held:
             yield pa.Table.from_batches(held)
-            held = [batch.slice(cut)]
-        else:
-            held.append(batch)
+            held = []
+        held.append(part)
     if held:
         yield pa.Table.from_batches(held)
 
 
-def _edges_of(table: pa.Table, keys: list[str]) -> np.ndarray:
-    new = np.ones(table.num_rows + 1, dtype=bool)
-    new[1:-1] = False
-    for k in keys:
-        c = table.column(k).to_numpy()
-        new[1:-1] |= c[1:] != c[:-1]
-    return np.flatnonzero(new)
+def _block(n: str, size: int) -> Column:
+    """The block, of about `size` rows, that a class lives in among n."""
+    return F.pmod(F.xxhash64("rep", F.lit(7)), F.ceil(F.col(n) / size).cast("int")).cast("int")
+
+
+def _meetings(rows: DataFrame, key: str, size: int, total: int) -> DataFrame:
+    """key, block, visits, rep, component: of the keys whose classes are in several components, each class in the
+    block that it lives in, and those outside the key's largest component as visitors to all blocks. rows: key, rep,
+    component."""
+    each = rows.groupBy(key, "component").agg(F.count(F.lit(1)).alias("n"))
+    apart = each.groupBy(key).agg(F.sum("n").alias("n"), F.max_by("component", F.struct("n", "component")).alias("base"), F.count(F.lit(1)).alias("trees")).where("trees > 1")
+    keys = stored(apart.select(F.col(key).alias("k"), "n", F.col("n").alias("all"), "base"))
+    met = looked_up(rows, [key], keys, ["k"], "n", total, ["rep"])
+    lives = met.select(key, _block("all", size).alias("block"), F.lit(0).alias("visits"), "rep", "component")
+    blocks = F.explode(F.sequence(F.lit(0), F.ceil(F.col("all") / size).cast("int") - 1))
+    visits = met.where("component <> base").select(key, blocks.alias("block"), F.lit(1).alias("visits"), "rep", "component")
+    out = stored(lives.unionByName(visits))
+    dropped(keys)
+    return out
+
+
+def _compared(met: DataFrame, key: str, data: str, alike: Callable[[list[bytes], bytes], np.ndarray]) -> DataFrame:
+    """Links (a, b) between classes of different components of a block that are alike: of each visitor with one class
+    of every component that it is not yet joined up with. met: _meetings with a column of data."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reps, tree, held = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for new, part in _parts(batches, [key, "block"]):
+            if new:
+                reps, tree, held, parent = np.zeros(0, np.int64), np.zeros(0, np.int64), [], {}
+            visits = part.column("visits").to_numpy().astype(bool)
+            rep, component = part.column("rep").to_numpy(), part.column("component").to_numpy()
+            values = part.column(data)
+            live = np.flatnonzero(~visits)
+            reps, tree = np.concatenate([reps, rep[live]]), np.concatenate([tree, component[live]])
+            held += [values[i].as_py() for i in live.tolist()]
+            a, b = [], []
+            for v in np.flatnonzero(visits).tolist():
+                mine = root(int(component[v]))
+                roots = np.array([root(x) for x in tree.tolist()], np.int64)
+                other = np.flatnonzero(roots != mine)
+                if not len(other):
+                    continue
+                near = other[alike([held[i] for i in other.tolist()], values[v].as_py())]
+                for t, first in zip(*np.unique(roots[near], return_index=True), strict=True):
+                    parent[int(t)] = mine
+                    a.append(int(rep[v]))
+                    b.append(int(reps[near[first]]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    dealt = met.repartition(key, "block").sortWithinPartitions(key, "block", "visits")
+    return dealt.select(key, "block", "visits", "rep", "component", data).mapInArrow(run, "a long, b long")
+
+
+def _with_component(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    return rows.join(joined, F.col("rep") == F.col("id"), "left").select(*rows.columns, F.coalesce("component", "rep").alias("component"))
 
 
 def likely_links(heads: DataFrame, likely: float, block: int = 1024) -> DataFrame:
-    """A spanning forest, per pair of blocks of each band bucket, of the pairs whose signatures agree in `likely` of all
-    coordinates or more. heads: rep, bands, marks."""
+    """Links that join up the same classes as all pairs of a band bucket whose signatures agree in `likely` of all
+    coordinates or more. heads: rep, bands, marks. The result is a stored table."""
     keyed = heads.select("rep", F.explode("bands").alias("key"))
-    common = keyed.groupBy("key").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select(F.col("key").alias("ck"))
-    mine = keyed.join(common, F.col("key") == F.col("ck")).select("key", "rep")
-    met = _blocks(stored(mine), "key", block).join(heads.select(F.col("rep").alias("r"), "marks"), F.col("rep") == F.col("r")).select("key", "i", "j", "rep", "marks")
+    keys = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("k"), "n", F.col("n").alias("all")))
+    total, largest = keys.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    mine = stored(looked_up(keyed, ["key"], keys, ["k"], "n", total, ["rep"]))
+    dropped(keys)
+    marked = heads.select(F.col("rep").alias("r"), "marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, ["key", "i", "j"]):
+        for table in _groups(batches, ["key", "block"]):
             rep = table.column("rep").to_numpy()
             marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint8).reshape(len(rep), -1)
-            edge = _edges_of(table, ["key", "i", "j"])
-            head = np.repeat(edge[:-1], np.diff(edge))
-            close = (marks == marks[head]).mean(axis=1) >= likely
-            a, b = [rep[close]], [rep[head[close]]]
-            for g in np.unique(np.searchsorted(edge, np.flatnonzero(~close), side="right") - 1).tolist():
-                lo, hi = edge[g], edge[g + 1]
-                left = lo + np.arange(hi - lo)
-                while len(left) > 1:  # grow one tree from the first vertex left, then go on with the rest
-                    front, left = left[:1], left[1:]
-                    while len(front) and len(left):
-                        v, front = front[0], front[1:]
-                        near = (marks[left] == marks[v]).mean(axis=1) >= likely
-                        a.append(rep[left[near]])
-                        b.append(np.full(int(near.sum()), rep[v]))
-                        front, left = np.append(front, left[near]), left[~near]
-            a, b = np.concatenate(a), np.concatenate(b)
-            keep = a != b
-            pairs = np.unique(np.stack([np.maximum(a, b)[keep], np.minimum(a, b)[keep]], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    return met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
-
-
-def true_links(docs: DataFrame, clusters: DataFrame, words: int, threshold: float, weight: str, block: int = 192) -> DataFrame:
-    """Links of exact similarity that join up the same components as all such pairs inside each cluster.
-    clusters: rep, cluster."""
+            a, b, left = [], [], np.arange(len(rep))
+            while len(left) > 1:  # grow one tree from the first vertex left, then go on with the rest
+                front, left = left[:1], left[1:]
+                while len(front) and len(left):
+                    v, front = front[0], front[1:]
+                    near = (marks[left] == marks[v]).mean(axis=1) >= likely
+                    a.append(rep[left[near]])
+                    b.append(np.full(int(near.sum()), rep[v]))
+                    front, left = np.append(front, left[near]), left[~near]
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    met = mine.select("key", _block("all", block).alias("block"), "rep").join(marked, F.col("rep") == F.col("r")).select("key", "block", "rep", "marks")
+    inside = met.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(run, "a long, b long")
+    found = stored(inside.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    if largest > block:  # classes of one bucket in several blocks have not met yet
+        joined = components(found)
+        apart = _meetings(_with_component(mine.where(F.col("all") > block).select("key", "rep"), joined), "key", block, total)
+
+        def alike(held: list[bytes], mark: bytes) -> np.ndarray:
+            marks = np.frombuffer(b"".join(held), np.uint8).reshape(len(held), -1)
+            return (marks == np.frombuffer(mark, np.uint8)).mean(axis=1) >= likely
+
+        across = _compared(apart.join(marked, F.col("rep") == F.col("r")).select(*apart.columns, "marks"), "key", "marks", alike)
+        inside = found
+        found = stored(inside.unionByName(across))
+        dropped(joined, apart, inside)
+    dropped(mine)
+    return found
+
+
+def _alike(sets: list[bytes], one: bytes, threshold: float) -> np.ndarray:
+    """Which sorted sets of 64-bit numbers have a Jaccard similarity of at least threshold with one."""
+    v = np.frombuffer(one, np.uint64)
+    size = np.array([len(x) // 8 for x in sets])
+    fits = np.flatnonzero((size >= threshold * len(v)) & (threshold * size <= len(v)) & (size > 0)) if len(v) else np.zeros(0, np.int64)
+    out = np.zeros(len(sets), dtype=bool)
+    if len(fits):
+        flat_ = np.frombuffer(b"".join(sets[i] for i in fits.tolist()), np.uint64)
+        same = v[np.minimum(np.searchsorted(v, flat_), len(v) - 1)] == flat_
+        common = np.bincount(np.repeat(np.arange(len(fits)), size[fits])[same], minlength=len(fits))
+        out[fits] = (common > 0) & (common >= threshold * (size[fits] + len(v) - common))
+    return out
+
+
+def gram_sets(texts: DataFrame, words: int, weight: str) -> DataFrame:
+    """rep and the sorted hashes of the text's shingles."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = flat.text_bytes(batch.column(2))
+            data, offsets = flat.text_bytes(batch.column(1))
             for a, b in flat.cuts(np.diff(offsets), PASS_BYTES):
                 grams, of, _, _ = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
                 grams, of, counts = _counted(grams, of)
@@ -258,72 +346,78 @@ def true_links(docs: DataFrame, clusters: DataFrame, words: int, threshold: floa
                     grams = flat.mixed(np.repeat(grams, counts) ^ flat.mixed(again.astype(np.uint64)))
                 edge = np.searchsorted(of, np.arange(b - a + 1))
                 rows = [np.sort(grams[x:y]).tobytes() for x, y in zip(edge, edge[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(rows, pa.binary())], ["cluster", "rep", "grams"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(rows, pa.binary())], ["rep", "grams"])
+
+    return texts.select("rep", "text").mapInArrow(cut, "rep long, grams binary")
+
 
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(clusters, F.col("doc_id") == F.col("rep")).select("cluster", "rep", "text")
-    cut_ = stored(texts.mapInArrow(cut, "cluster long, rep long, grams binary"))
-    met = _blocks(cut_.select("cluster", "rep"), "cluster", block)
-    met = met.join(cut_.select(F.col("rep").alias("r"), "grams"), F.col("rep") == F.col("r")).select("cluster", "i", "j", "rep", "grams")
+def along_edges(links: DataFrame, sets: DataFrame, threshold: float, slice_rows: int = 192) -> DataFrame:
+    """The links whose sets are alike. A vertex with many links is met by its neighbours in slices, and goes to each
+    slice once."""
+    hubs = stored(links.groupBy("b").agg(F.count(F.lit(1)).alias("n")).select(F.col("b").alias("h"), "n", F.col("n").alias("all")))
+    total = hubs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    met = looked_up(links, ["b"], hubs, ["h"], "n", total, ["a"])
+    leaves = stored(met.select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("all") / slice_rows).cast("int")).cast("int").alias("slice")))
+    grams = sets.select(F.col("rep").alias("r"), "grams")
+    here = leaves.join(grams, F.col("a") == F.col("r")).select("b", "slice", F.lit(1).alias("leaf"), F.col("a").alias("rep"), "grams")
+    hub = leaves.select("b", "slice").distinct().join(grams, F.col("b") == F.col("r")).select("b", "slice", F.lit(0).alias("leaf"), F.col("b").alias("rep"), "grams")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, ["cluster", "i", "j"]):
-            rep = table.column("rep").to_numpy()
-            sets = [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()]
-            a, b = [], []
-            edge = _edges_of(table, ["cluster", "i", "j"])
-            for lo, hi in zip(edge.tolist(), edge[1:].tolist(), strict=False):
-                for x, y in exact_forest(sets[lo:hi], threshold):
-                    if rep[lo + x] != rep[lo + y]:
-                        a.append(rep[lo + x])
-                        b.append(rep[lo + y])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        one = b""
+        for new, part in _parts(batches, ["b", "slice"]):
+            rep, values = part.column("rep"), part.column("grams").to_pylist()
+            if new:
+                one = values[0]
+            ok = _alike(values, one, threshold)
+            ok &= part.column("leaf").to_numpy() == 1
+            yield pa.RecordBatch.from_arrays([rep.filter(pa.array(ok)), part.column("b").filter(pa.array(ok))], ["a", "b"])
+
+    dealt = here.unionByName(hub).repartition("b", "slice").sortWithinPartitions("b", "slice", "leaf")
+    out = stored(dealt.mapInArrow(run, "a long, b long"))
+    dropped(hubs, leaves)
+    return out
 
-    return met.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(run, "a long, b long")
-
-
-def exact_forest(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of sets with Jaccard similarity of at least threshold. Each vertex is compared
-    once, with those that no tree has reached yet."""
-    out: list[tuple[int, int]] = []
-    size = np.array([len(s) for s in sets])
-    if len(sets) == 2:
-        n = len(np.intersect1d(sets[0], sets[1], assume_unique=False))
-        return [(1, 0)] if n >= threshold * (size.sum() - n) and n else []
-    flat_, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
-    left = np.ones(len(sets), dtype=bool)
-    for seed in range(len(sets)):
-        if not left[seed]:
-            continue
-        left[seed] = False
-        front = [seed]
-        while front and left.any():
-            v = front.pop()
-            if not size[v]:
-                continue
-            at = np.minimum(np.searchsorted(sets[v], flat_), size[v] - 1)
-            n = np.bincount(of[sets[v][at] == flat_], minlength=len(sets))
-            near = np.flatnonzero(left & (n > 0) & (n >= threshold * (size + size[v] - n)))
-            left[near] = False
-            out += [(int(x), v) for x in near]
-            front += near.tolist()
-            if len(near) > 16:
-                keep = left[of]
-                flat_, of = flat_[keep], of[keep]
+
+def true_links(texts: DataFrame, links: DataFrame, words: int, threshold: float, weight: str, block: int = 192) -> DataFrame:
+    """Links of exact similarity that join up the same components as all such pairs inside each tree of `links`.
+    texts: rep, text. The result is a stored table."""
+    sets = stored(gram_sets(texts, words, weight))
+    found = along_edges(links, sets, threshold, block)
+    trees, joined = components(links), components(found)
+    of_tree = trees.select(F.col("id").alias("rep"), F.col("component").alias("tree"))
+    of_tree = of_tree.unionByName(of_tree.select(F.col("tree").alias("rep"), "tree").distinct())
+    apart = _meetings(_with_component(of_tree, joined), "tree", block, max(1, sets.count()))
+    grams = sets.select(F.col("rep").alias("r"), "grams")
+    more = _compared(apart.join(grams, F.col("rep") == F.col("r")).select(*apart.columns, "grams"), "tree", "grams", lambda held, one: _alike(held, one, threshold))
+    out = stored(found.unionByName(more))
+    dropped(sets, found, trees, joined, apart)
     return out
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 4, likely: float = 0.62, weight: str = "set") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 4, likely: float = 0.62, weight: str = "set", bucket_block: int = 1024, tree_block: int = 192) -> DataFrame:
     """doc_id, class_id (smallest doc_id with the same words), component_id (smallest doc_id reachable by links) and
-    kept (doc_id = component_id), one row per row of docs."""
-    n = partitions_for(docs)
+    kept (doc_id = component_id, or no doc_id in the component), one row per row of docs."""
     sketches = stored(sketch(docs, words, bands, rows, weight))
-    classes = stored(sketches.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")))
-    heads = stored(sketches.join(classes.select(F.col("rep").alias("r"), F.col("f1").alias("g1"), F.col("f2").alias("g2")), (F.col("doc_id") == F.col("r")) & (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2"))).select(F.col("doc_id").alias("rep"), "bands", "marks").dropDuplicates(["rep"]))
-    maybe = components(likely_links(heads, likely))
-    clusters = stored(maybe.select(F.col("id").alias("rep"), F.col("component").alias("cluster")).unionByName(maybe.select(F.col("component").alias("rep"), F.col("component").alias("cluster")).distinct()))
-    found = components(true_links(docs.repartition(n, "doc_id"), clusters, words, threshold, weight))
-    of = sketches.select("doc_id", "f1", "f2").join(classes.select("rep", F.col("f1").alias("g1"), F.col("f2").alias("g2")), (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2"))).select("doc_id", "rep")
-    of = of.join(found, F.col("rep") == F.col("id"), "left").groupBy("doc_id").agg(F.min("rep").alias("class_id"), F.min(F.coalesce("component", "rep")).alias("component_id"))
-    out = docs.select(F.col("doc_id").cast("long").alias("d")).join(of, F.col("d") == F.col("doc_id"), "left")
-    own = F.coalesce(F.col("component_id"), F.col("d"))
-    return out.select(F.col("d").alias("doc_id"), F.coalesce("class_id", "d").alias("class_id"), own.alias("component_id"), F.coalesce(F.col("d") == own, F.lit(True)).alias("kept"))
+    alike = sketches.where("f1 is not null").groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "tie")).alias("first"))
+    classes = stored(alike.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), "n", "first.*", F.monotonically_increasing_id().alias("rep")))
+    lead = classes.select(F.col("doc").alias("ld"), F.col("tie").alias("lt"), "rep")
+    heads = stored(sketches.join(lead, (F.col("doc") == F.col("ld")) & (F.col("tie") == F.col("lt"))).select("rep", "bands", "marks").dropDuplicates(["rep"]))
+    links = likely_links(heads, likely, bucket_block)
+    dropped(heads)
+    ends = links.select(F.col("a").alias("e")).unionByName(links.select(F.col("b").alias("e"))).distinct()
+    wanted = stored(lead.join(ends, F.col("rep") == F.col("e"), "left_semi"))
+    same = (F.col("doc") == F.col("ld")) & (F.col("tie") == F.col("lt"))
+    texts = _identity(docs).repartition(partitions_for(docs), "doc", "tie").join(wanted, same).select("rep", "text").dropDuplicates(["rep"])
+    found = true_links(texts, links, words, threshold, weight, tree_block)
+    joined = components(found)
+    dropped(links, wanted, found)
+    placed = stored(_with_component(classes.select("g1", "g2", "n", "doc", "rep"), joined))
+    least = placed.groupBy("component").agg(F.min("doc").alias("least")).withColumnRenamed("component", "c")
+    answers = stored(placed.join(least, F.col("component") == F.col("c")).select("g1", "g2", "n", F.col("doc").alias("class"), "least"))
+    total = sketches.count()
+    with_words = looked_up(sketches.where("f1 is not null").select("doc", "tie", "f1", "f2"), ["f1", "f2"], answers, ["g1", "g2"], "n", total, ["doc", "tie"]).select("doc", "class", "least")
+    alone = sketches.where("f1 is null").select("doc", F.col("doc").alias("class"), F.col("doc").alias("least"))
+    out = stored(with_words.unionByName(alone))
+    dropped(sketches, classes, joined, placed, answers)
+    name = lambda c: F.when(F.col(c) < _LAST, F.col(c))
+    return out.select(name("doc").alias("doc_id"), name("class").alias("class_id"), name("least").alias("component_id"), (F.col("doc") == F.col("least")).alias("kept"))

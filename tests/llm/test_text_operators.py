@@ -141,9 +141,10 @@ def test_near_duplicates(spark):
             changed |= label[a] != m or label[b] != m
             label[a] = label[b] = m
     for weight in ("set", "count"):
-        got = {r.doc_id: r for r in minhash.near_duplicates(frame(spark, rows), weight=weight).collect()}
+        blocks = {} if weight == "set" else {"bucket_block": 2, "tree_block": 2}  # small ones: classes meet as visitors
+        got = {r.doc_id: r for r in minhash.near_duplicates(frame(spark, rows), weight=weight, **blocks).collect()}
         assert {d: got[d].component_id for d in label} == label
-        assert got[None].kept and got[None].component_id is None
+        assert got[None].component_id == got[None].class_id == 5000 and not got[None].kept
 
 
 def test_signatures_estimate_weighted_similarity():
@@ -158,7 +159,7 @@ def test_line_runs(spark):
     rows = [(1, "a\nb\nc\nd"), (2, "x\nb\nc\n\ny"), (3, "b\nc"), (4, "c\nb"), (5, "q\nq\nq\nq"), (6, None), (7, ""), (8, "b\nb"), (3, "b\nc")]
     docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], SCHEMA)
     got = {r.doc_id: (r.text, r.n_lines, r.n_removed, r.n_runs) for r in line_dedup.line_dedup(docs).collect()}
-    assert got == {1: ("a\nb\nc\nd", 4, 0, 0), 2: ("x\ny", 4, 2, 1), 3: ("", 2, 2, 1), 4: ("c\nb", 2, 0, 0), 5: ("q", 4, 3, 1), 6: (None, 0, 0, 0), 7: ("", 0, 0, 0), 8: ("b\nb", 2, 0, 0)}
+    assert got == {1: ("a\nb\nc\nd", 4, 0, 0), 2: ("x\n\ny", 4, 2, 1), 3: ("", 2, 2, 1), 4: ("c\nb", 2, 0, 0), 5: ("q", 4, 3, 1), 6: (None, 0, 0, 0), 7: ("", 0, 0, 0), 8: ("b\nb", 2, 0, 0)}
     longer = line_dedup.line_dedup(docs.where("doc_id <= 2"), min_run=3)
     assert longer.where("n_removed > 0").count() == 0
 
@@ -274,9 +275,26 @@ def test_parsing_matches_greedy_phrases():
 def test_rotation(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", None), (2, None, None, "x"), (3, 0, "system", "alone"), (None, 300, "ann", "late")]
     got = {(r.conv_id, r.perspective, r.part): r for r in chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert set(got) == {(1, "ann", 0), (1, "bob", 0), (2, "unknown", 0), (None, "ann", 1)}
+    assert set(got) == {(1, "ann", 0), (1, "bob", 0), (2, "unknown", 0), (None, "ann", 0)}
     r = got[1, "ann", 0]
     assert r.rendered == "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nhi < |im_end|><|im_end|>\n<|im_start|>user name=bob\n<|im_end|>\n"
     a, b = map(int, r.mask_spans.split("-"))
     assert r.rendered[a:b] == "hi < |im_end|><|im_end|>\n" and r.n_learned == 1
     assert got[1, "bob", 0].rendered.count("assistant") == 1
+
+
+def test_rotation_of_a_long_conversation(spark):
+    """Null turns come last, equal turns and repeated rows share parts of bounded size, small conversations stay whole."""
+    rows = [(1, t, "ann" if t % 2 else "bob", f"m{t:04d}") for t in range(300)] + [(1, None, "ann", f"late{k:03d}") for k in range(100)]
+    rows += [(2, 7, "cid", "same")] * 70 + [(c, 0, "dee", "hi") for c in range(10, 40)]
+    docs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = {(r.conv_id, r.perspective, r.part): r for r in chat.rotate(docs, turns_per_part=32).collect()}
+    order = sorted((r for r in rows if r[0] == 1), key=lambda r: (r[1] is None, r[1] or 0, r[2], r[3]))
+    for who in ("ann", "bob"):
+        for part in range(13):
+            r = got[1, who, part]
+            assert re.findall("m[0-9]{4}|late[0-9]{3}", r.rendered) == [x[3] for x in order[32 * part : 32 * part + 32]]
+    assert [got[2, "cid", p].n_messages for p in range(3)] == [32, 32, 6] and got[20, "dee", 0].n_learned == 1
+    assert len(got) == 2 * 13 + 3 + 30
+    empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.rotate(empty).count() == 0
