@@ -36,6 +36,9 @@ STRETCHES = 8
 #: Characters that one pass holds at a time.
 PASS_CHARS = 1 << 20
 SEPARATOR, UNKNOWN = 1, 0
+#: A text of so many letters is foreign if its phrases have fewer letters than this on average. Random letters of a known
+#: alphabet reach three and more, related languages four, a script that no sample has one.
+FOREIGN_LETTERS, FOREIGN_MATCH = 50, 2.0
 
 PREDICTION = "doc_id long, lang_pred string, score double"
 
@@ -178,16 +181,19 @@ class CrossParser:
             out[:, k] = np.bincount(text, weights=missed[k] + 1, minlength=len(texts))
         return out, letters
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Each text's language and score, and whether it is foreign to all: a text of some length whose longest matches
+        hold hardly more than single letters in every language."""
         if not self.languages:
-            return ["und"] * len(texts), np.zeros(len(texts))
+            return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
         found, letters = self.phrases(texts)
         cost = np.maximum(found, 1) * self.bits
         best = cost.argmin(axis=1)
         weight = (cost.min(axis=1, keepdims=True) / cost) ** 8
         known = letters > 0
         score = np.where(known, 1 / weight.sum(axis=1), 0.0)
-        return [self.languages[b] if k else "und" for b, k in zip(best, known, strict=True)], score
+        foreign = (letters >= FOREIGN_LETTERS) & (letters < FOREIGN_MATCH * np.maximum(found, 1).min(axis=1))
+        return [self.languages[b] if k else "und" for b, k in zip(best, known, strict=True)], score, foreign
 
 
 #: Parsers by their samples; a Python worker builds one and keeps it for its later tasks.
@@ -239,7 +245,7 @@ def predict(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
             texts = batch.column(1)
             size = np.asarray(pa.compute.fill_null(pa.compute.utf8_length(texts), 0))
             for a, b in cuts(size, PASS_CHARS):
-                lang, score = parser.predict(texts.slice(a, b - a).fill_null("").to_pylist())
+                lang, score, _ = parser.predict(texts.slice(a, b - a).fill_null("").to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PREDICTION)
@@ -260,7 +266,7 @@ def identify(docs: DataFrame, folds: int = 5) -> DataFrame:
 def accepted(docs: DataFrame, folds: int = 5) -> DataFrame:
     """The rows of docs whose text is in a known language, where they are, with a null lang filled in.
 
-    Rejected is what `predict` calls `und`. Learns as `identify` does. Needs the columns text and lang."""
+    Rejected is what `predict` calls `und`, and what is foreign to every language (CrossParser.predict). Learns as `identify` does. Needs the columns text and lang."""
     sent = docs.sparkSession.sparkContext.broadcast(sample(docs.where(~held_out(folds=folds))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,10 +275,13 @@ def accepted(docs: DataFrame, folds: int = 5) -> DataFrame:
             at, lang_at = batch.schema.get_field_index("text"), batch.schema.get_field_index("lang")
             size = np.asarray(pa.compute.fill_null(pa.compute.utf8_length(batch.column(at)), 0))
             found: list[str] = []
+            foreign: list[bool] = []
             for a, b in cuts(size, PASS_CHARS):
-                found += parser.predict(batch.column(at).slice(a, b - a).fill_null("").to_pylist())[0]
+                lang, _, strange = parser.predict(batch.column(at).slice(a, b - a).fill_null("").to_pylist())
+                found += lang
+                foreign += strange.tolist()
             lang = pa.compute.coalesce(batch.column(lang_at), pa.array(found, batch.column(lang_at).type))
             columns = [lang if i == lang_at else c for i, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array([x != "und" for x in found], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array([x != "und" and not f for x, f in zip(found, foreign, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
