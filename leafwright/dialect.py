@@ -11,6 +11,8 @@ import re
 #: A character that Python's \w accepts; Java's own \w is ASCII only.
 WORD = r"[\p{L}\p{N}_]"
 SPACE = r"[\s\p{Z}]"
+#: Text without these characters is in normal form C.
+BEYOND = r"[^\x{0000}-\x{02FF}]"
 
 
 class Spark:
@@ -132,7 +134,14 @@ class Spark:
         return f"cast(floor(({a}) / ({b})) as bigint)"
 
     def nfc(self, s: str) -> str:
-        return f"nfc({s})"
+        """Normal form C. Text below U+0300 has it already; the rest goes through the Unicode library that Spark brings
+        along for its collations, inside the JVM."""
+        made = f"java_method('com.ibm.icu.text.Normalizer', 'compose', nf_, false)"
+        return self.bind(f"cast({s} as string)", "nf_", f"case when {self.found('nf_', BEYOND)} then {made} else nf_ end")
+
+    def bind(self, value: str, name: str, body: str) -> str:
+        """body, which sees value by name: neither engine computes it twice."""
+        return self.at(self.map(self.array(value), name, body), "1")
 
     text_type = "string"
     number = "D"

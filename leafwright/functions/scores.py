@@ -7,11 +7,10 @@ from leafwright.functions import text as T
 
 
 def trigrams(d: Spark, s: str) -> str:
-    """The distinct character trigrams of a text whose white space is collapsed."""
-    letters = d.filter(d.split(d.sub(s, r"\s+", " "), ""), "ch", "ch <> ''")
-    three = d.enumerate("al_", "ch", "i", f"case when i + 2 <= {d.size('al_')} then ch || {d.at('al_', 'i + 1')} || {d.at('al_', 'i + 2')} end")
-    made = d.unique(d.filter(three, "t3", "t3 is not null"))
-    return d.at(d.map(d.array(letters), "al_", made), "1")
+    """The distinct character trigrams of a text whose white space is collapsed: its pieces of three characters from the
+    first, the second and the third character on."""
+    pieces = d.concat(*(d.all(x, "(?s).{3}") for x in ("tx_", "substring(tx_, 2)", "substring(tx_, 3)")))
+    return d.bind(d.sub(s, r"\s+", " "), "tx_", d.unique(pieces))
 
 
 def set_distance(d: Spark, a: str, b: str) -> str:
@@ -22,9 +21,9 @@ def set_distance(d: Spark, a: str, b: str) -> str:
 
 
 def clarity(d: Spark, s: str) -> str:
-    plain = d.size(d.filter("tr_", "t3", d.found("t3", "^[A-Za-z0-9 ]{3}")))
+    plain = d.count(d.join("tr_", "\x01"), "(?:^|\x01)[A-Za-z0-9 ]{3}")
     ratio = f"case when {d.size('tr_')} = 0 then null else {d.double(plain)} / {d.size('tr_')} end"
-    share = d.at(d.map(d.array(trigrams(d, s)), "tr_", ratio), "1")
+    share = d.bind(trigrams(d, s), "tr_", ratio)
     return f"coalesce({share} - {d.double('0.02')} * {d.count(s, '[.,;:]{3,}')} - {d.double('0.01')} * {d.count(s, r'[^\x00-\x7e\s]')}, {d.double('0')})"
 
 
@@ -59,7 +58,7 @@ def readability(d: Spark, s: str, variant: str) -> str:
     else:
         marks = "^\\s*\u2022 " if variant == "resume" else "^\\s*[\u2022*-] "
         t = T.strip(d, "ln")
-        head = f"({T.is_upper(t)} and {T.words(d, t)} <= 4)" if variant == "resume" else T.heading(d, "ln", "canonical")
+        head = f"({T.is_upper(d, t)} and {T.words(d, t)} <= 4)" if variant == "resume" else T.heading(d, "ln", "canonical")
         share = f"({v('0.5')} * {d.size(d.filter(lines, 'ln', d.found('ln', marks)))} / {n} + {v('0.5')} * {d.size(d.filter(lines, 'ln', head))} / {n})"
         score = f"least({v('1')}, {v('0.9')} * {base} + least({v('0.1')}, {share}))"
     return f"case when {n} = 0 then {v('0')} else {score} end"

@@ -38,8 +38,9 @@ def lstrip(d: Spark, s: str) -> str:
     return d.sub(s, rf"^{SPACE}+", "")
 
 
-def is_upper(s: str) -> str:
-    return f"(upper({s}) = {s} and lower({s}) <> {s})"
+def is_upper(d: Spark, s: str) -> str:
+    """A capital and no small letter; blanks around the text change nothing."""
+    return d.found(s, r"^[^\p{Ll}\p{Lt}]*\p{Lu}[^\p{Ll}\p{Lt}]*\z")
 
 
 def one_of(d: Spark, s: str, values: list[str]) -> str:
@@ -97,8 +98,8 @@ def tidy_lines(d: Spark, s: str) -> str:
 
 
 def base_clean(d: Spark, s: str) -> str:
-    """Line ends, soft hyphens, glyphs and wrapped words; nothing else."""
-    return dehyphen(d, glyphs(d, without_soft_hyphens(d, unix_lines(d, s))))
+    """Line ends, normal form C, soft hyphens, glyphs and wrapped words; nothing else."""
+    return dehyphen(d, glyphs(d, without_soft_hyphens(d, d.nfc(unix_lines(d, s)))))
 
 
 def safe_clean(d: Spark, s: str) -> str:
@@ -303,21 +304,24 @@ def words(d: Spark, s: str) -> str:
 
 
 def heading(d: Spark, line: str, variant: str) -> str:
-    t = strip(d, line)
-    ends = d.found(t, r"[.,;:]\z")
-    loose = f"({d.found(t, '^[A-Z][A-Za-z &/]+$')} and not {d.found(t, r'[:;.]\z')})"
-    upper = f"({is_upper(t)} and length({t}) <= 64 and not {ends})"
+    known = lambda values: one_of(d, "upper(th_)", values)
+    upper = f"({is_upper(d, 'th_')} and length(th_) <= 64 and not {d.found('th_', r'[.,;:]\z')})"
+    loose = f"({d.found('th_', '^[A-Z][A-Za-z &/]+$')})"  # a final . or ; is no letter anyway
+    body = {
+        "general": f"({upper} or {loose})",
+        "document": f"({known(HEADINGS)} or {upper} or {loose})",
+        "canonical": f"(({upper} and {words(d, 'th_')} <= 4) or {loose})",
+        "finisher": f"({d.found('th_', r'''^[A-Z][A-Z &/.'-]{1,63}$''')} and {words(d, 'th_')} <= 6)",
+        "spec": f"({is_upper(d, 'th_')} and length(th_) >= 6 and {words(d, 'th_')} <= 3)",
+        "resume": f"({known(SECTIONS)} or {d.found('th_', '^[A-Z][A-Z &/]+$')})",
+        "validator": f"({d.found('th_', r'''^[A-Z][A-Z &/()'-]+$''')} or {known(SECTIONS)})",
+    }
+    if variant in body:
+        return d.bind(strip(d, line), "th_", body[variant])
     return {
-        "general": f"({upper} or {d.found(t, '^[A-Z][A-Za-z &/]+$')})",
-        "document": f"({one_of(d, f'upper({t})', HEADINGS)} or {upper} or {loose})",
-        "canonical": f"(({upper} and {words(d, t)} <= 4) or {loose})",
-        "finisher": f"({d.found(t, r'''^[A-Z][A-Z &/.'-]{1,63}$''')} and {words(d, t)} <= 6)",
-        "spec": f"({is_upper(t)} and length({t}) >= 6 and {words(d, t)} <= 3)",
         "cleaner": d.found(line, r"(?i)^(?:OBJECTIVE|EDUCATION|EXPERIENCE|SKILLS|PROJECTS(?:\s*&\s*OPEN-?SOURCE)?|CREDENTIALS)\b"),
-        "resume": f"({one_of(d, f'upper({t})', SECTIONS)} or {d.found(t, '^[A-Z][A-Z &/]+$')})",
-        "layout": d.found(t, r"(?i)^(?:EDUCATION|ACADEMICS|EXPERIENCE|SKILLS|PROJECTS|CERTIFICATIONS|AWARDS)\s*$"),
-        "validator": f"({d.found(t, r'''^[A-Z][A-Z &/()'-]+$''')} or {one_of(d, f'upper({t})', SECTIONS)})",
-        "section": d.found(t, r"^[A-Z][A-Z /&-]{3,}$"),
+        "layout": d.found(line, rf"(?i)^{SPACE}*(?:EDUCATION|ACADEMICS|EXPERIENCE|SKILLS|PROJECTS|CERTIFICATIONS|AWARDS){SPACE}*\z"),
+        "section": d.found(strip(d, line), r"^[A-Z][A-Z /&-]{3,}$"),
     }[variant]
 
 
@@ -351,7 +355,7 @@ def title_words(d: Spark, s: str) -> str:
 
 
 def title_item(d: Spark, s: str) -> str:
-    return f"case when {is_upper(s)} or {d.found(s, r'^\p{Nd}+\z')} then {s} else {title_words(d, s)} end"
+    return f"case when {is_upper(d, s)} or {d.found(s, r'^\p{Nd}+\z')} then {s} else {title_words(d, s)} end"
 
 
 def section_case(d: Spark, s: str, style: str = "title") -> str:

@@ -1,23 +1,13 @@
-"""Unicode normal form C. Spark has no such function; only rows that may need it leave the JVM."""
+"""Unicode normal form C of a column."""
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Text of code points below U+0300 is in normal form C already.
-BEYOND = "[^\\x{0000}-\\x{02FF}]"
+from leafwright.dialect import SPARK
 
 
 def normalized(df: DataFrame, column: str = "text") -> DataFrame:
-    """df with a column in normal form C, by two branches: plain rows stay as they are."""
-
-    @F.pandas_udf("string")
-    def nfc(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
-
-    odd = F.coalesce(F.col(column).rlike(BEYOND), F.lit(False))
-    return df.where(~odd).unionByName(df.where(odd).withColumn(column, nfc(column)))
+    """df with a column in normal form C; null stays null."""
+    return df.withColumn(column, F.expr(SPARK.nfc(f"`{column}`")))

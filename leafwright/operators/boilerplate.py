@@ -1,8 +1,8 @@
 """Removal of lines that repeat at the edges of a document's pages.
 
-One plan for all policies: edge lines of each page, once a page by key; support per document; the supported keys back
-to the lines as one array per document. Pages are dealt by document once; every aggregate, window and join after that
-is by document (and more), so nothing else shuffles.
+One plan for all policies, one scan and one shuffle: pages are dealt by document, and everything after that is a window
+within a document. Each line carries how many pages have its key at an edge, whether the key is chosen, and what the
+guards of its page and document say.
 """
 
 from __future__ import annotations
@@ -69,7 +69,6 @@ def _tables(d: Spark, p: Policy) -> str:
     if p.drops == "bare_email":
         lines = d.filter(f"({lines})", "fl", f"not {T.is_bare_email(d, 'fl')}")
     hint = "/*+ REPARTITION(doc_id) */" if d.name == "spark" else ""
-    collect = "collect_list" if d.name == "spark" else "list"
     rank = "c desc, first_seen" if p.by_frequency else "first_seen"
     most = f"rn <= {p.most}" if p.most else "true"
     few = "single_share <= 0.2" if p.guard == "few_single" else "true"
@@ -80,26 +79,28 @@ def _tables(d: Spark, p: Policy) -> str:
     fence = f"(sum(case when {d.found(T.strip(d, 'line'), '^```')} then 1 else 0 end) over (partition by doc_id, page_index order by nth) % 2 = 1)" if p.guard == "document20" else "false"
     return f"""
 with dealt as (select {hint} doc_id, page_index, text from @pages),
-cut as (select doc_id, page_index, {lines} as ls0 from dealt),
-split_ as (select doc_id, page_index, case when {d.size('ls0')} = 0 then {d.array("''")} else ls0 end as ls from cut),
-exploded as ({d.explode(f"doc_id, page_index, {d.size('ls')} as n", 'ls', 'line', 'split_')}),
-keyed as (select *, {key} as k, {fence} as fenced, case when nth < 5 then nth else 5 + nth - greatest(n - 5, 0) end as place from exploded),
-counts as (select doc_id, count(*) as n_pages from dealt group by doc_id),
-once as (
-  select doc_id, page_index, k, min(place) as place from keyed
-  where (nth < 5 or nth >= n - 5) and {_candidate(d, p.candidate)} group by doc_id, page_index, k),
+counted as (select doc_id, page_index, text, count(*) over (partition by doc_id) as n_pages from dealt),
+cut as (select doc_id, page_index, n_pages, {lines} as ls0 from counted),
+split_ as (select doc_id, page_index, n_pages, case when {d.size('ls0')} = 0 then {d.array("''")} else ls0 end as ls from cut),
+exploded as ({d.explode(f"doc_id, page_index, n_pages, {d.size('ls')} as n", 'ls', 'line', 'split_')}),
+keyed as (
+  select *, {key} as k, {fence} as fenced, page_index * 16 + case when nth < 5 then nth else 5 + nth - greatest(n - 5, 0) end as place,
+         (nth < 5 or nth >= n - 5) and {_candidate(d, p.candidate)} as edge
+  from exploded),
+once as (select *, edge and row_number() over (partition by doc_id, k, page_index order by edge desc, nth) = 1 as fresh from keyed),
 support as (
-  select o.doc_id, o.k, count(*) as c, min(o.page_index * 16 + o.place) as first_seen, max(n_pages) as n_pages
-  from once o join counts on o.doc_id = counts.doc_id group by o.doc_id, o.k),
-shares as (select *, avg({d.double('case when c = 1 then 1 else 0 end')}) over (partition by doc_id) as single_share from support),
-ranked as (
-  select doc_id, k, c, first_seen, row_number() over (partition by doc_id order by {rank}) as rn
-  from shares where {_support(d, p.support)} and {few}),
-keys as (select doc_id, {collect}(k) as ks, count(*) as n_keys from ranked where {most} group by doc_id),
+  select *, sum(case when fresh then 1 else 0 end) over (partition by doc_id, k) as c,
+         min(case when fresh then place end) over (partition by doc_id, k) as first_seen
+  from once),
+shares as (
+  select *, avg(case when fresh and place = first_seen then {d.double('case when c = 1 then 1 else 0 end')} end) over (partition by doc_id) as single_share
+  from support),
+fit as (select *, c > 0 and {_support(d, p.support)} and {few} as fits from shares),
+ranked as (select *, case when fits then dense_rank() over (partition by doc_id, fits order by {rank}) end as rn from fit),
+chosen as (select *, coalesce(fits and {most}, false) as chosen from ranked),
 flagged as (
-  select q.doc_id, q.page_index, q.nth, q.n, q.line, n_pages, coalesce(n_keys, 0) as n_keys,
-         (coalesce({d.has('ks', 'k')}, false) and {where}) or ({always}) as gone
-  from keyed q join counts on q.doc_id = counts.doc_id left join keys on q.doc_id = keys.doc_id)"""
+  select *, coalesce(max(case when chosen then rn end) over (partition by doc_id), 0) as n_keys, (chosen and {where}) or ({always}) as gone
+  from chosen)"""
 
 
 def removed(d: Spark, variant: str) -> str:
@@ -125,6 +126,11 @@ select doc_id, page_index, {out} as text, cast(sum(case when gone and not revert
 from guarded group by doc_id, page_index"""
 
 
-def detected(d: Spark, variant: str = "a") -> str:
-    """@pages -> doc_id, key, support of the lines that would go."""
-    return f"{_tables(d, POLICIES[variant])} select r.doc_id, r.k as key, cast(r.c as bigint) as support from ranked r"
+def detected(d: Spark, policy: str | Policy = "a") -> str:
+    """@pages -> doc_id, key, support of the lines that the policy chooses."""
+    p = POLICIES[policy] if isinstance(policy, str) else policy
+    return f"{_tables(d, p)} select doc_id, k as key, cast(c as bigint) as support from chosen where chosen and fresh and place = first_seen"
+
+
+#: The detector alone: policy a on all lines of the pages, e-mail addresses too.
+DETECTOR = Policy(final_break=False)

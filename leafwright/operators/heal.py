@@ -2,28 +2,29 @@
 
 from __future__ import annotations
 
-from leafwright.dialect import Spark
+from leafwright.dialect import SPACE, Spark
 from leafwright.functions import text as T
 
 
 def _fold(d: Spark, lines: str, join: str, joined: str, alone: str = "cur_", drop: str = "false") -> str:
-    """lines -> lines. join, joined, alone and drop see `prev`, the last line made, and `cur`."""
-    prev, cur = d.at("acc", d.size("acc")), d.at("x", "1")
-    see = lambda e: e.replace("prev_", prev).replace("cur_", cur)
-    body = f"case when {see(drop)} then acc when {see(join)} then {d.concat(d.part('acc', '1', d.size('acc') + ' - 1'), d.array(see(joined)))} else {d.concat('acc', d.array(see(alone)))} end"
-    return d.fold(d.map(lines, "ln", d.array(alone.replace("cur_", "ln"))), "acc", "x", body)
+    """lines -> lines. join, joined, alone and drop see `prev_`, the last line made, and `cur_`."""
+    start = d.map(lines, "ln", d.array(d.bind("ln", "cur_", alone)))
+    put = d.concat(d.part("acc", "1", d.size("acc") + " - 1"), d.array(joined))
+    body = f"case when {drop} then acc when {join} then {put} else {d.concat('acc', d.array('cur_'))} end"
+    body = d.bind(d.at("acc", d.size("acc")), "prev_", d.bind(d.at("x", "1"), "cur_", body))
+    return d.fold(start, "acc", "x", body)
 
 
 def wrapped(d: Spark, lines: str) -> str:
     """A line goes on with the next one if it ends with a comma, if the next one begins in lower case, or if it is a
     single word that the next line, no bullet or heading, may belong to."""
-    p, c = T.rstrip(d, "prev_"), T.lstrip(d, "cur_")
-    single = f"({d.found(T.strip(d, p), r'^\p{L}\S*\z')} and not {d.found(c, '^[-\u2022]')} and not {T.heading(d, c, 'document')})"
+    single = f"({d.found('pr_', rf'^{SPACE}*\p{{L}}[^\s\p{{Z}}]*\z')} and not {d.found('cl_', '^[-\u2022]')} and not {T.heading(d, 'cl_', 'document')})"
     join = (
-        f"({p} <> '' and {c} <> '' and not {d.found(c, '^\u2022')} and not {d.found(p, r'[.!?:]\z')} and not {T.is_upper(T.strip(d, p))}"
-        f" and ({d.found(p, r',\z')} or {d.found(c, r'^\p{Ll}')} or {single}))"
+        f"(pr_ <> '' and cl_ <> '' and not {d.found('cl_', '^\u2022')} and not {d.found('pr_', r'[.!?:]\z')} and not {T.is_upper(d, 'pr_')}"
+        f" and ({d.found('pr_', r',\z')} or {d.found('cl_', r'^\p{Ll}')} or {single}))"
     )
-    return _fold(d, lines, join, f"{p} || ' ' || {c}", T.strip(d, "cur_"))
+    join = d.bind(T.rstrip(d, "prev_"), "pr_", d.bind(T.lstrip(d, "cur_"), "cl_", join))
+    return _fold(d, lines, join, f"{T.rstrip(d, 'prev_')} || ' ' || {T.lstrip(d, 'cur_')}", T.strip(d, "cur_"))
 
 
 def conservative(d: Spark, lines: str) -> str:
@@ -41,7 +42,7 @@ def capped(d: Spark, lines: str, most: int = 30, longest: int = 2000) -> str:
     makes a line too long is taken back yet counted; a repeated upper-case line goes."""
     start = d.map(lines, "ln", d.struct(out=d.array("ln"), merges="0"))
     prev, cur = d.at("acc.out", d.size("acc.out")), d.at("x.out", "1")
-    same = f"({T.is_upper(T.strip(d, cur))} and {T.strip(d, prev)} = {T.strip(d, cur)})"
+    same = f"({T.is_upper(d, cur)} and {T.strip(d, prev)} = {T.strip(d, cur)})"
     t = T.strip(d, cur)
     join = f"(acc.merges < {most} and not {d.found(prev, r'[.;:!?)]\s*\z')} and not {d.found(cur, '^\\s*[*\u2022-]\\s*')} and ({t} = '' or {d.found(t, '^[a-z0-9]')}))"
     merged = f"{T.rstrip(d, prev)} || ' ' || {T.lstrip(d, cur)}"
@@ -78,16 +79,21 @@ def pairwise(d: Spark, lines: str) -> str:
     return d.at(holder, "1")
 
 
-def by_newline(d: Spark, s: str) -> str:
-    """Every newline that follows no full stop and precedes no bullet becomes a blank."""
-    lines = d.split(s)
-    parts = d.enumerate("al_", "ln", "i", f"case when i = 1 then ln when {d.found(d.at('al_', 'greatest(i - 1, 1)'), r'[.!?:]\z')} or {d.found(_rest(d), '^\\s*[-*\u2022]')} then {d.lit(chr(10))} || ln else ' ' || ln end")
-    return d.at(d.map(d.array(lines), "al_", d.join(parts, "")), "1")
+#: What a newline may stand before, over any number of blank lines, and stay: a bullet; for `numbered` also a numbered line
+#: and an upper-case line that closes the page.
+MARKS = {"plain": "\\s*\\n\\s*[-*\u2022]", "numbered": "\\s*\\n\\s*(?:[-*\u2022]|\\p{Nd}+[.])|\\s*\\n\\s*[A-Z][A-Z ]{2,}\\n?\\z"}
 
 
-def _rest(d: Spark) -> str:
-    """What follows a newline, blank lines included."""
-    return d.join(d.part("al_", "i", "8"))
+def by_newline(d: Spark, s: str, marks: str = "plain", count: bool = False) -> str:
+    """Every newline that follows no full stop and precedes no mark becomes a blank, or how many do. The text is cut into
+    words, single blanks, and runs of blanks with the mark after them."""
+    tokens = d.all(s, rf"{MARKS[marks]}|\S+|\s")
+    kept = f"i > 1 and {d.found(d.at('tk_', 'greatest(i - 1, 1)'), r'[.!?:]\z')}"
+    if count:
+        return d.bind(tokens, "tk_", d.size(d.filter(d.enumerate("tk_", "tk", "i", f"case when tk = {d.lit(chr(10))} and not ({kept}) then 1 end"), "tk", "tk is not null")))
+    whole = d.sub("tk", r"^(\s*\n\s*[A-Z][A-Z ]{2,})\n\z", r"\1 ")  # the newline after a closing line is no mark
+    parts = d.enumerate("tk_", "tk", "i", f"case when tk = {d.lit(chr(10))} then (case when {kept} then tk else ' ' end) else {whole} end")
+    return d.bind(tokens, "tk_", d.join(parts, ""))
 
 
 def deduped_headings(d: Spark, lines: str) -> str:

@@ -98,7 +98,7 @@ def finish_spec(d: Spark) -> str:
 def canonical(d: Spark) -> str:
     """Tidy lines, edge lines (policy h), wraps, newline healing, e-mail URLs, parentheses, bullets, placeholders."""
     def healed(d: Spark, s: str) -> str:
-        return T.single_blank_lines(d, heal.by_newline(d, s))
+        return T.single_blank_lines(d, heal.by_newline(d, s, "numbered"))
 
     def marks(d: Spark, s: str) -> str:
         return T.glyphs(d, T.bullets(d, s, "finisher"), "no_ff")

@@ -127,8 +127,8 @@ counted("label_row_merge", result=lambda d, s: d.join(f"({heal.label_rows(d, d.s
 # repeated edge lines ----------------------------------------------------------------------------------------------
 for v in boilerplate.POLICIES:
     CATALOG[f"boiler_{v}"] = ("pages", (lambda v: lambda d: boilerplate.removed(d, v))(v))
-over_pages("boiler_detect")(boilerplate.detected)
-over_pages("boiler_rank_top8")(lambda d: f"select * from ({boilerplate.detected(d, 'g')}) z")
+over_pages("boiler_detect")(lambda d: boilerplate.detected(d, boilerplate.DETECTOR))
+over_pages("boiler_rank_top8")(lambda d: boilerplate.detected(d, "g"))
 
 # whole cleaners -----------------------------------------------------------------------------------------------------
 for name, cleaner in {"postproc": pipelines.postproc, "postproc_exact": pipelines.exact, "polish": pipelines.polished, "six_rule_a": pipelines.cleaned, "six_rule_b": pipelines.six_rules_b, "finish_v1": pipelines.finish_v1, "finish_spec": pipelines.finish_spec, "canonical": pipelines.canonical, "clean_general": pipelines.general, "validate": pipelines.validated}.items():
