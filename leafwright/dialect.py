@@ -130,6 +130,13 @@ class Spark:
     def json(self, s: str, key: str) -> str:
         return f"get_json_object({s}, '$.{key}')"
 
+    def json_keys(self, s: str) -> str:
+        """The keys of a JSON object; null for any other text."""
+        return f"case when try_parse_json({s}) is not null then json_object_keys({s}) end"
+
+    def is_json(self, s: str) -> str:
+        return f"(try_parse_json({s}) is not null)"
+
     def div(self, a: str, b: str) -> str:
         return f"cast(floor(({a}) / ({b})) as bigint)"
 
@@ -254,6 +261,12 @@ class Duck(Spark):
     def json(self, s: str, key: str) -> str:
         return f"case when json_valid({s}) then json_extract_string({s}, '$.{key}') end"
 
+    def json_keys(self, s: str) -> str:
+        return f"case when json_valid({s}) and json_type({s}) = 'OBJECT' then json_keys({s}) end"
+
+    def is_json(self, s: str) -> str:
+        return f"json_valid({s})"
+
     def nfc(self, s: str) -> str:
         return f"nfc_normalize({s})"
 

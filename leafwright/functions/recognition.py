@@ -22,6 +22,22 @@ def should_retry(psm: str, mean: str) -> str:
     return f"({psm} in (4, 6) and {mean} < 70)"
 
 
+def alternative(psm: str) -> str:
+    """The mode that a retry takes."""
+    return f"case when {psm} = 4 then 6 else 4 end"
+
+
+def kept_of_retry(psm: str, first: str, second: str) -> str:
+    """The mode of the better of two runs; a retry that is no better, or was not made (null), changes nothing."""
+    return f"case when coalesce({second} > {first}, false) then {alternative(psm)} else {psm} end"
+
+
+def config_string(d: Spark, psm: str, folder: str = "null") -> str:
+    """The options of a recognition run; folder: where language data lies, if not in the default place."""
+    base = f"'--oem 3 --psm ' || cast({psm} as {d.text_type}) || ' -c preserve_interword_spaces=1'"
+    return f"case when coalesce({folder}, '') <> '' then '--tessdata-dir \"' || {folder} || '\" ' || {base} else {base} end"
+
+
 def segments(d: Spark, hint: str) -> str:
     return d.filter(d.map(f"{d.split(f'lower({hint})', '+')}", "sg", T.strip(d, "sg")), "sg", "sg <> ''")
 

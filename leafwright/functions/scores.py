@@ -73,7 +73,7 @@ def word_error_rate(d: Spark, reference: str, hypothesis: str) -> str:
         place = "array_position(ab_, tk)" if d.name == "spark" else "list_position(ab_, tk)"
         if d.name == "spark":  # chr() has 256 values; surrogates are no characters
             point = f"{place} + case when {place} < 55264 then 32 else 2080 end"
-            return d.join(d.map(tokens, "tk", f"decode(unhex(lpad(hex({point}), 8, '0')), 'UTF-32')"), "")
+            return f"decode(unhex({d.join(d.map(tokens, 'tk', f"lpad(hex({point}), 8, '0')"), '')}), 'UTF-32')"
         return d.join(d.map(tokens, "tk", f"chr(cast({place} as int) + 32)"), "")
 
     edits = d.map(d.array(d.unique(d.concat(reference, hypothesis))), "ab_", f"levenshtein({coded(reference)}, {coded(hypothesis)})")

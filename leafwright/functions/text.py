@@ -343,7 +343,7 @@ def edge_candidate(d: Spark, s: str) -> str:
 
 def counter_key(d: Spark, s: str) -> str:
     """A line without its counters: stripped, collapsed, lower-cased, digits deleted."""
-    return d.sub(f"lower({collapsed(d, strip(d, s))})", r"\p{Nd}+", "")
+    return d.sub(f"lower({collapsed(d, strip(d, d.nfc(s)))})", r"\p{Nd}+", "")
 
 
 def title_words(d: Spark, s: str) -> str:

@@ -104,7 +104,7 @@ flagged as (
 
 
 def removed(d: Spark, variant: str) -> str:
-    """@pages (doc_id, page_index, text) -> doc_id, page_index, text, n_removed."""
+    """@pages (doc_id, page_index, text) -> doc_id, page_index, text, n_removed, n_lines, removed (the lines, stripped)."""
     p = POLICIES[variant]
     full = T.strip(d, "line")
     keep = {
@@ -122,7 +122,8 @@ def removed(d: Spark, variant: str) -> str:
         known = f"(select *, sum(case when nth = 0 then seeded_page else 0 end) over (partition by doc_id) as regex_pages from {by_page})"
     return f"""{_tables(d, p)},
 guarded as (select *, {keep} as reverted from {known} known_)
-select doc_id, page_index, {out} as text, cast(sum(case when gone and not reverted then 1 else 0 end) as bigint) as n_removed
+select doc_id, page_index, {out} as text, cast(sum(case when gone and not reverted then 1 else 0 end) as bigint) as n_removed,
+       count(*) as n_lines, {d.gathered(full, "nth", where="gone and not reverted")} as removed
 from guarded group by doc_id, page_index"""
 
 

@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from leafwright.dialect import Spark
-from leafwright.functions import text as T
-from leafwright.operators import boilerplate, heal
+from leafwright.functions import recognition as R
+from leafwright.functions import scores, text as T
+from leafwright.operators import boilerplate, heal, resume, structure
 
 Rule = Callable[[Spark, str], str]
 
@@ -68,7 +69,7 @@ def polished(d: Spark) -> str:
 
 def six_rules_b(d: Spark) -> str:
     """Canonical lines, edge lines (policy d), wraps, quotes, short parentheses, capped healing, e-mail URLs."""
-    canonical = lambda d, s: T.tidy_lines(d, T.unix_lines(d, s))
+    canonical = lambda d, s: T.tidy_lines(d, d.nfc(T.unix_lines(d, s)))
     dehyphen = lambda d, s: T.dehyphen(d, T.without_soft_hyphens(d, s), "ascii")
     extended = lambda d, s: T.glyphs(d, s, "extended")
     healed = lambda d, s: d.join(f"({heal.capped(d, d.split(s))}).out")
@@ -83,7 +84,7 @@ def finish_v1(d: Spark) -> str:
     def marks(d: Spark, s: str) -> str:
         return T.tidy_lines(d, T.bullets(d, T.glyphs(d, s, "short"), "finisher"))
 
-    return chain(d, stripped(d, "f", chain(d, "select doc_id, page_index, text from @pages", T.unix_lines)), T.without_email_urls, dehyphen, marks, _each(T.paren_acronym), _lines(heal.conservative), _lines(heal.spaced_headings))
+    return chain(d, stripped(d, "f", chain(d, "select doc_id, page_index, text from @pages", lambda d, s: T.unix_lines(d, d.nfc(s)))), T.without_email_urls, dehyphen, marks, _each(T.paren_acronym), _lines(heal.conservative), _lines(heal.spaced_headings))
 
 
 def finish_spec(d: Spark) -> str:
@@ -103,7 +104,7 @@ def canonical(d: Spark) -> str:
     def marks(d: Spark, s: str) -> str:
         return T.glyphs(d, T.bullets(d, s, "finisher"), "no_ff")
 
-    tidy = lambda d, s: T.tidy_lines(d, T.unix_lines(d, s))
+    tidy = lambda d, s: T.tidy_lines(d, T.unix_lines(d, d.nfc(s)))
     return chain(d, stripped(d, "h", chain(d, "select doc_id, page_index, text from @pages", tidy)), T.dehyphen, healed, T.emails_canonical, _each(T.paren_one_extra), marks, T.placeholders)
 
 
@@ -115,53 +116,76 @@ def cleaned(d: Spark) -> str:
     def headings(d: Spark, s: str) -> str:
         return T.by_line(d, d.join(f"({heal.deduped_headings(d, d.split(s))}).out"), "ln", T.strip(d, T.collapsed(d, "ln")))
 
-    return chain(d, stripped(d, "c", "select doc_id, page_index, text from @pages"), T.without_email_urls, T.glyphs, wraps, _each(T.paren_cloud), headings)
+    return chain(d, stripped(d, "c", "select doc_id, page_index, text from @pages"), T.without_email_urls, lambda d, s: d.nfc(T.glyphs(d, s)), wraps, _each(T.paren_cloud), headings)
+
+
+GENERAL_RULES: tuple[Rule, ...] = (
+    lambda d, s: T.glyphs(d, T.without_soft_hyphens(d, d.nfc(T.unix_lines(d, s)))), T.email_wrappers_dropped, lambda d, s: T.dehyphen(d, s, "chained"),
+    lambda d, s: T.bullets(d, T.tidy_lines(d, s), "general"), _lines(heal.pairwise), T.single_blank_lines, T.strip,
+)
 
 
 def general(d: Spark) -> str:
     """The page-local general cleaner: glyphs, e-mail wrappers, wraps, bullets, pairwise healing."""
-    def tidy(d: Spark, s: str) -> str:
-        return T.bullets(d, T.tidy_lines(d, s), "general")
+    return chain(d, "select doc_id, page_index, text from @pages", *GENERAL_RULES)
 
-    glyphs = lambda d, s: T.glyphs(d, T.without_soft_hyphens(d, T.unix_lines(d, s)))
-    chained = lambda d, s: T.dehyphen(d, s, "chained")
-    return chain(d, "select doc_id, page_index, text from @pages", glyphs, T.email_wrappers_dropped, chained, tidy, _lines(heal.pairwise), T.single_blank_lines, T.strip)
 
+def fused(d: Spark) -> str:
+    """@first and @second (doc_id, page_index, text, confidences), two recognitions of pages -> the one that is kept, cleaned.
+    A page that only one has is taken from there; a second one without text never wins."""
+    clean = {t: chain(d, f"select doc_id, page_index, text from @{t}", *GENERAL_RULES) for t in ("first", "second")}
+    side = lambda t: f"select c.doc_id, c.page_index, c.text, {R.mean(d, 'o.confidences')} / 100 as mean, o.text <> '' as has from ({clean[t]}) c join @{t} o on c.doc_id = o.doc_id and c.page_index = o.page_index"
+    both = f"""select coalesce(a.doc_id, b.doc_id) as doc_id, coalesce(a.page_index, b.page_index) as page_index, a.doc_id is not null as has_a, b.doc_id is not null and (b.has or a.doc_id is null) as has_b,
+      coalesce(a.text, '') as ta, coalesce(b.text, '') as tb, coalesce(a.mean, 0) as ma, coalesce(b.mean, 0) as mb from ({side('first')}) a full outer join ({side('second')}) b on a.doc_id = b.doc_id and a.page_index = b.page_index"""
+    scored = f"select *, {scores.set_distance(d, 'xa', 'xb')} as dist, {scores.clarity(d, 'ta')} as ca, {scores.clarity(d, 'tb')} as cb from (select *, {scores.trigrams(d, 'ta')} as xa, {scores.trigrams(d, 'tb')} as xb from ({both}) fu0) fu1"
+    choice = R.fusion_choice("ma", "mb", "dist", "length(ta)", "length(tb)", "ca", "cb", "has_a", "has_b", d)
+    return f"select doc_id, page_index, choice, case when choice = 'b' then tb else ta end as text, case when choice = 'b' then mb else ma end as mean from (select *, {choice} as choice from ({scored}) fu2) fu3"
 
-def validated(d: Spark) -> str:
-    """Base cleaning, edge lines (policy i), bullets, parentheses, cities, blanks and pipes."""
+
+def _validated(d: Spark, source: str) -> str:
     bulleted = lambda d, s: T.bullets(d, s, "resume")
-    spaced = lambda d, s: T.single_blank_lines(d, T.by_line(d, s, "ln", T.pipes_before_url(d, T.collapsed(d, T.strip(d, "ln")))))
-    return chain(d, stripped(d, "i", chain(d, "select doc_id, page_index, text from @pages", T.base_clean)), bulleted, _each(T.paren_at_end), T.cities, spaced)
+    lines = lambda d, s: T.by_line(d, s, "ln", T.pipes_before_url(d, T.collapsed(d, T.strip(d, "ln"))))
+    spaced = lambda d, s: T.single_blank_lines(d, resume.one_blank_after_headings(d, s))
+    return chain(d, stripped(d, "i", source), bulleted, _each(T.paren_at_end), T.cities, _lines(resume.validator_dates), lines, spaced)
+
+
+def validated(d: Spark) -> str:
+    """Base cleaning, edge lines (policy i), bullets, parentheses, cities, headings with their dates, blanks and pipes."""
+    return _validated(d, chain(d, "select doc_id, page_index, text from @pages", T.base_clean))
 
 
 def validated_twice(d: Spark) -> str:
     """validated, and its rules once more on the result: the fix-point that a second pass settles."""
-    again = stripped(d, "i", "select doc_id, page_index, text from once_")
-    bulleted = lambda d, s: T.bullets(d, s, "resume")
-    spaced = lambda d, s: T.single_blank_lines(d, T.by_line(d, s, "ln", T.pipes_before_url(d, T.collapsed(d, T.strip(d, "ln")))))
-    return f"with once_ as ({validated(d)}) {chain(d, again, bulleted, _each(T.paren_at_end), T.cities, spaced)}"
+    return f"with once_ as ({validated(d)}) {_validated(d, 'select doc_id, page_index, text from once_')}"
 
 
 def fixed_resume(d: Spark) -> str:
-    """Collapsed lines, edge lines (policy e), bullets, parentheses, cities, brands and degrees."""
+    """Collapsed lines, edge lines (policy e), bullets, parentheses, education sentences, cities, links in the contact
+    block, headings in one case, brands and degrees; with n_links and warnings of the links."""
     lines = lambda d, s: T.by_line(d, s, "ln", T.collapsed(d, T.strip(d, "ln")))
     bulleted = lambda d, s: T.bullets(d, s, "resume")
-    fewer = lambda d, s: d.sub(s, r"\n{3,}", "\n")
-    return chain(d, stripped(d, "e", chain(d, "select doc_id, page_index, text from @pages", lines)), bulleted, T.without_bare_emails, _each(T.paren_known_token), T.cities, T.brands, T.degrees, fewer)
+    joined = lambda d, s: d.join(f"({resume.education_sentences(d, d.split(s))}).out")
+    body = chain(d, stripped(d, "e", chain(d, "select doc_id, page_index, text from @pages", lines)), bulleted, T.without_bare_emails, _each(T.paren_known_token), joined, T.cities)
+    cased = d.sub(resume.heading_case(d, "text"), r"\n{3,}", "\n")
+    return f"select doc_id, page_index, {cased} as text, n_links, warnings from ({resume.lifted(d).replace('@pages', f'({body}) fr0')}) fr1"
 
 
 def laid_out(d: Spark) -> str:
-    """Commas and pipes, parentheses, city names, blank lines, headings joined with their dates."""
-    from leafwright.operators import structure
-
-    cities = lambda d, s: T.cities(d, s, T.LAYOUT_CITIES, keep_case=True)
-    return chain(d, "select doc_id, page_index, text from @pages", _each(T.spaced_commas_and_pipes), _each(T.paren_unguarded), cities, T.single_blank_lines, structure.header_spacing, structure.heading_dates)
+    """Commas and pipes, parentheses, city names, blank lines; then sections with education folded, dates beside their
+    headings and skills formatted."""
+    cities = lambda d, s: d.sub(T.cities(d, s, T.LAYOUT_CITIES, keep_case=True), "([A-Za-z]),([A-Za-z])", r"\1, \2")
+    collapsed = lambda d, s: T.by_line(d, d.nfc(T.unix_lines(d, s)), "ln", T.collapsed(d, T.strip(d, "ln")))
+    cleaned = chain(d, "select doc_id, page_index, text from @pages", collapsed, _each(T.spaced_commas_and_pipes), _each(T.paren_unguarded), cities, T.single_blank_lines, structure.header_spacing, _lines(resume.role_dates))
+    return resume.laid_out(d, cleaned)
 
 
 def resume_v1(d: Spark) -> str:
-    """The flagship followed by punctuation: blanks after commas, en dashes with blanks."""
-    return chain(d, postproc(d), T.punctuation)
+    """The flagship followed by education and skills on one line each and punctuation, with counts."""
+    return resume.normalized_resume(d).replace("@pages", f"({postproc(d)}) rv0")
+
+
+def resume_text(d: Spark) -> str:
+    return chain(d, "select doc_id, page_index, text from @pages", resume.cleaned_text)
 
 
 def by_policy(d: Spark) -> str:

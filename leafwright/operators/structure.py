@@ -39,7 +39,7 @@ def skills(d: Spark) -> str:
     parts = d.map(d.split(d.sub("line", "[\u2022;|,]", "\n")), "it", T.collapsed(d, T.strip(d, "it")))
     items = d.explode("doc_id, page_index, category, nth", parts, "item", f"(select * from ({named}) t where head is null and category <> '') u", "place")
     first = f"select *, row_number() over (partition by doc_id, page_index, category, lower(item) order by nth, place) as again from ({items}) v where item <> ''"
-    return f"select doc_id, page_index, category, {d.gathered('item', 'nth * 1000 + place', ', ')} as items from ({first}) w where again = 1 group by doc_id, page_index, category"
+    return f"select doc_id, page_index, category, {d.gathered('item', d.struct(p='nth', k='place'), ', ')} as items from ({first}) w where again = 1 group by doc_id, page_index, category"
 
 
 def rendered_skills(d: Spark) -> str:
@@ -79,21 +79,17 @@ def contact_block(d: Spark, s: str) -> str:
     return d.at(d.map(d.array(a), "nb_", f"case when {d.size('nb_')} = 0 then '' else {span} end"), "1")
 
 
-def education_rows(d: Spark) -> str:
-    """@pages -> one row per blank-separated cluster: programme, institute, city, dates, the first line of each kind,
-    and how many lines are left."""
-    t = T.strip(d, "line")
-    dated, prog = d.found(t, DATE), f"({d.found(t, PROGRAM)} or {d.found(t, UPPER)} or {d.found(t, TITLE)})"
-    kinds = f"case when {dated} then 'dates' when {d.found(t, INSTITUTE)} then 'institute' when {prog} and not {d.found(t, URL)} then 'program' when not {d.found(t, r'[0-9]')} and {d.found(t, r'^[A-Za-z][A-Za-z .-]+(?:, [A-Za-z .-]+)?$')} then 'city' else 'other' end"
-    blocks = f"select *, {t} = '' as blank, sum(case when {t} = '' then 1 else 0 end) over (partition by doc_id, page_index order by nth rows unbounded preceding) as cluster from ({lines(d)}) q"
-    typed = f"select doc_id, page_index, cluster, nth, {t} as line, {kinds} as kind from ({blocks}) r where not blank"
-    ranked = f"select *, row_number() over (partition by doc_id, page_index, cluster, kind order by nth) as rn from ({typed}) s"
-    pick = ", ".join(f"coalesce(max(case when kind = '{k}' and rn = 1 then line end), '') as {k}" for k in ("program", "institute", "city", "dates"))
-    return f"select doc_id, page_index, cast(cluster as bigint) as cluster, {pick}, count(*) - cast(sum(case when kind <> 'other' and rn = 1 then 1 else 0 end) as bigint) as n_left from ({ranked}) u group by doc_id, page_index, cluster"
+def section_lines(d: Spark, *names: str) -> str:
+    """@pages -> doc_id, page_index, section, nth, line: the lines under section headings of these names."""
+    head = T.heading(d, "line", "layout")
+    w = "over (partition by doc_id, page_index order by nth rows unbounded preceding)"
+    numbered = f"select *, {head} as is_head, sum(case when {head} then 1 else 0 end) {w} as section from ({lines(d)}) sl0"
+    named = f"select *, max(case when is_head then upper({T.strip(d, 'line')}) end) over (partition by doc_id, page_index, section) as heading from ({numbered}) sl1"
+    return f"select doc_id, page_index, section, nth, line from ({named}) sl2 where not is_head and {T.one_of(d, 'heading', list(names))}"
 
 
-def lifted_links(d: Spark) -> str:
+def listed_links(d: Spark) -> str:
     """@pages -> each document's distinct URLs in the order of their first place."""
     urls = d.explode("doc_id, page_index", d.all("text", r"(?i)\bhttps?://[^\s)]+"), "url", "@pages", "place")
-    first = f"select doc_id, url, min(page_index * 100000 + place) as place from ({urls}) q group by doc_id, url"
+    first = f"select doc_id, url, min({d.struct(p='page_index', k='place')}) as place from ({urls}) q group by doc_id, url"
     return f"select doc_id, {d.gathered('url', 'place', ' ')} as urls from ({first}) r group by doc_id"

@@ -15,7 +15,7 @@ from leafwright.functions import recognition as R
 from leafwright.functions import scores as S
 from leafwright.functions import text as T
 from leafwright.functions import unicode
-from leafwright.operators import boilerplate, heal, pipelines, structure
+from leafwright.operators import boilerplate, envelopes, heal, pipelines, resume, structure
 from leafwright.plans.run import apply, inlined
 from leafwright.sources import pages as P
 
@@ -133,11 +133,17 @@ over_pages("boiler_rank_top8")(lambda d: boilerplate.detected(d, "g"))
 # whole cleaners -----------------------------------------------------------------------------------------------------
 for name, cleaner in {"postproc": pipelines.postproc, "postproc_exact": pipelines.exact, "polish": pipelines.polished, "six_rule_a": pipelines.cleaned, "six_rule_b": pipelines.six_rules_b, "finish_v1": pipelines.finish_v1, "finish_spec": pipelines.finish_spec, "canonical": pipelines.canonical, "clean_general": pipelines.general, "validate": pipelines.validated}.items():
     over_pages(name)(cleaner)
-for name, cleaner in {"validate_twice": pipelines.validated_twice, "fix_resume": pipelines.fixed_resume, "layout": pipelines.laid_out, "resume_v1": pipelines.resume_v1, "document_policy": pipelines.by_policy}.items():
+for name, cleaner in {"validate_twice": pipelines.validated_twice, "fix_resume": pipelines.fixed_resume, "layout": pipelines.laid_out, "resume_v1": pipelines.resume_v1, "clean_resume_text": pipelines.resume_text, "document_policy": pipelines.by_policy}.items():
     over_pages(name)(cleaner)
 over_pages("postproc_typos")(lambda d: pipelines.postproc(d, True))
 over_pages("postproc_documents")(lambda d: pipelines.documents(d, pipelines.postproc(d)))
 
+# envelopes: text with counts, lists and flags
+for name, envelope in {"six_rule_envelope": envelopes.six_rules, "finish_v1_envelope": envelopes.finished_v1, "finish_spec_audit": envelopes.finished_spec, "canonical_envelope": envelopes.canonical, "clean_pages_meta": envelopes.page_cleaner}.items():
+    over_pages(name)(envelope)
+over_pages("validate_envelope")(lambda d: f"select doc_id, text, readability_pct, vocab_overlap_pct, flags from ({envelopes.validation(d)}) ve")
+over_pages("content_match")(lambda d: envelopes.content_match(d, envelopes.validation(d)))
+
 # scores -------------------------------------------------------------------------------------------------------------
 DEFECTIVE_PAIR = "select a.doc_id, a.text as a, b.text as b from (select doc_id, {a} as text from @pages p1 group by doc_id) a join (select doc_id, {b} as text from @clean p2 group by doc_id) b on a.doc_id = b.doc_id"
 
@@ -180,7 +186,9 @@ def confidences(d: Spark) -> str:
 over("docs", "decide_psm", lambda d: f"select doc_id, {R.auto_psm('w', 'h', 'n_lines', d)} as psm from {DERIVED}")
 over("docs", "choose_psm", lambda d: f"select doc_id, {R.choose_psm('case when doc_id % 3 = 0 then psm end', '(doc_id % 5 <> 0)', R.auto_psm('w', 'h', 'n_lines', d))} as psm from {DERIVED}")
 over("docs", "decide_retry", lambda d: f"select doc_id, {R.should_retry('psm', 'conf')} as retry from {DERIVED}")
-over("docs", "retry_keep_best", lambda d: "select doc_id, case when second > first then alt else psm end as psm, greatest(first, second) as best from (select doc_id, psm, case when psm = 4 then 6 else 4 end as alt, conf as first, case when psm in (4, 6) and conf < 70 then 45 + doc_id % 40 else -1 end as second from " + DERIVED + ") r")
+RETRIED = "(select doc_id, psm, conf as first, case when " + R.should_retry("psm", "conf") + " then 45 + doc_id % 40 end as second from " + DERIVED + ") r"
+over("docs", "retry_keep_best", lambda d: f"select doc_id, {R.kept_of_retry('psm', 'first', 'second')} as psm, greatest(first, coalesce(second, first)) as best from {RETRIED}")
+over("docs", "config_string", lambda d: f"select doc_id, {R.config_string(d, 'psm', "case when doc_id % 2 = 0 then '/data/packs' end")} as cfg from {DERIVED}")
 over("docs", "decide_lang", lambda d: f"select doc_id, {R.resolve_language(d, "case doc_id % 6 when 0 then 'EN' when 1 then 'hi' when 2 then 'eng+hin' when 3 then '' when 4 then 'fra' else 'osd' end", d.array("'eng'", "'hin'"), '(doc_id % 2 = 0)')} as code from @docs")
 over("docs", "have_packs", lambda d: f"select doc_id, {R.have_packs(d, "case doc_id % 4 when 0 then 'eng+hin' when 1 then 'eng+osd' when 2 then ' + ' else 'fra' end", d.array("'eng'", "'hin'"))} as present from @docs")
 over("docs", "quality_flags", lambda d: f"select doc_id, {R.quality_flags(d, 'doc_id % 50', d.double('doc_id % 100') + ' / 100', 'doc_id % 19 - 9')} as flags from @docs")
@@ -188,15 +196,29 @@ over("docs", "conf_mean", lambda d: f"select doc_id, {R.mean(d, 'c')} as mean, (
 over("docs", "conf_p05", lambda d: f"select doc_id, {R.nearest_rank_p05(d, 'c')} as p05 from (select doc_id, {confidences(d)} as c from @docs) q")
 over("docs", "page_dims_band", lambda d: f"select doc_id, {P.band('w', 'h', d)} as width, {P.band('h', 'w', d)} as height from {DERIVED}")
 over("docs", "ink_line_count", lambda d: f"select doc_id, {R.rising_edges(d, 'f')} as n_lines from (select doc_id, {d.map(d.range('20 + doc_id % 40'), 'i', d.double('(doc_id * 31 + i * 17) % 100') + ' / 400')} as f from @docs) q")
-over("docs", "src_route_text_layer", lambda d: f"select doc_id, {P.route(d, '(doc_id % 3 <> 0)', 'substring(text, 1, cast(doc_id % 60 as int))')} as engine from @docs")
+over_pages("src_route_text_layer")(lambda d: f"select doc_id, page_index, {P.route(d, '(doc_id % 3 <> 0)', 'text')} as engine from @pages")
 over("docs", "src_error_codes", lambda d: f"select doc_id, {P.error_code("case doc_id % 4 when 0 then 'application/pdf' when 1 then 'image/png' when 2 then 'text/plain' else 'image/webp' end", 'doc_id * 40000', 'doc_id % 14')} as code from @docs")
-over("docs", "src_meaningful_text", lambda d: f"select doc_id, {P.meaningful(d, d.map(d.split('text'), 'ln', 'substring(ln, 1, cast(doc_id % 60 as int))'))} as meaningful from @docs")
+over("docs", "src_meaningful_text", lambda d: f"select doc_id, {P.meaningful(d, d.split('text'))} as meaningful, {P.meaningful(d, d.split('text', ' '), 12)} as long_words from @docs")
 over("docs", "src_split_formfeed", lambda d: P.form_feed_pages(d).replace("@docs", f"(select doc_id, replace(text, {d.lit(chr(10))}, {d.lit(chr(12))}) || {d.lit(chr(12) + ' ')} as text from @docs) ff"))
 over("docs", "src_pages", P.paged)
 over("docs", "src_defective_pages", P.defective_pages)
 over("docs", "ocr_p95_summary", lambda d: f"select source, count(*) as pages, {d.count_if('doc_id % 3 = 0')} as vision, {d.count_if('doc_id % 3 <> 0')} as tesseract, {R.nearest_rank_p95(d, 'ts')} as p95 from (select doc_id, o.source, ts from @docs o join (select source, {'collect_list' if d.name == 'spark' else 'list'}(doc_id * 37 % 1000) as ts from @docs group by source) t on o.source = t.source) q group by source, ts")
 
 
+CONFIDENT = "(select doc_id, page_index, text, {c} as confidences from {t} where {w}) {t}_"
+
+
+@over_pages("fuse_results")
+def _fuse_results(d: Spark) -> str:
+    """Pages with defects, recognised twice: the second without defects; each run lacks some pages."""
+    def confidences_of(a: int, n: int) -> str:
+        return d.map(d.range(f"(doc_id + page_index) % {n}"), "i", d.double(f"({a} + doc_id * 7 + i * 13) % 100"))
+
+    first = CONFIDENT.replace("{c}", confidences_of(60, 11)).replace("{t}", "@pages").replace("@pages_", "first_").replace("{w}", "(doc_id + page_index) % 17 <> 0")
+    second = CONFIDENT.replace("{c}", confidences_of(57, 13)).replace("{t}", "@clean").replace("@clean_", "second_").replace("{w}", "(doc_id + page_index) % 19 <> 0")
+    return pipelines.fused(d).replace("from @first) ", f"from {first}) ").replace("@first o", f"{first.replace(' first_', ' o')}").replace("@first", first).replace("@second o", f"{second.replace(' second_', ' o')}").replace("@second", second)
+
+
 @over_pages("fuse_choice")
 def _fuse(d: Spark) -> str:
     inner = f"select doc_id, a, b, {S.trigrams(d, 'a')} as x, {S.trigrams(d, 'b')} as y, {S.clarity(d, 'a')} as ca, {S.clarity(d, 'b')} as cb, {d.double('60 + doc_id % 40')} / 100 as ma, {d.double('55 + doc_id % 45')} / 100 as mb from ({pair(d)}) q"
@@ -208,13 +230,42 @@ over_pages("run_metrics")(lambda d: f"select p.doc_id, count(*) as pages, cast(s
 over_pages("page_envelope")(lambda d: f"select doc_id, page_index, length(text) as chars, {d.size(d.split('text'))} as n_lines, {d.found('text', '\u00ad|-\\n')} as healed_hyphens, {T.words(d, 'text')} as tokens from @pages")
 
 
+#: Pages with sections of a resume around their own lines.
+RESUME_LINES = ["EDUCATION", "CHRIST UNIVERSITY", "Data Science Master of technology", "Bangalore", "August 2024 - August 2026", "", "IIT Delhi", "M.Tech", "Delhi", "2019 - 2021", "", "", "EXPERIENCE", "ACME LTD", "", "Jan 2020 - Feb 2023", "{text}", "SKILLS", "Programming Languages", "Python, SQL; python", "C++", "Tools / Platforms", "AWS (S3", "Databases:", "MySQL,PostgreSQL", "", "Projects", "{text}"]
+RESUME_PAGES = "(select doc_id, page_index, " + " || chr(10) || ".join("text" if x == "{text}" else f"'{x}'" for x in RESUME_LINES) + " as text from @pages) rp_"
+
 # structure ----------------------------------------------------------------------------------------------------------
 over_pages("sections_split")(structure.sections)
 SKILL_PAGES = "(select doc_id, page_index, 'SKILLS\nProgramming\n' || replace(text, '. ', '; ') || '\nDatabases:\nMySQL, Oracle; mysql' as text from @pages) sp"
 over_pages("skills_parse")(lambda d: structure.skills(d).replace("@pages", SKILL_PAGES.replace("\n", "' || chr(10) || '")))
 over_pages("skills_render")(lambda d: structure.rendered_skills(d).replace("@pages", SKILL_PAGES.replace("\n", "' || chr(10) || '")))
-over_pages("education_fold")(structure.education_rows)
-over_pages("link_lift")(structure.lifted_links)
+over_pages("education_fold")(lambda d: resume.education_rows(d, structure.section_lines(d, "EDUCATION", "ACADEMICS").replace("@pages", RESUME_PAGES)))
+over_pages("link_list")(structure.listed_links)
+over_pages("link_lift")(lambda d: resume.lifted(d).replace("@pages", "(select doc_id, page_index, case when page_index = 0 then 'Ann Doe' || chr(10) || 'GitHub | LinkedIn, Portfolio' || chr(10) || text when doc_id % 3 = 0 then text || ' https://github.com/u' || doc_id || ' https://www.linkedin.com/in/x)' else text end as text from @pages) lp"))
+
+
+def over_resumes(name: str, f: Callable[[Spark], str]) -> None:
+    over_pages(name)(lambda d: f(d).replace("@pages", RESUME_PAGES))
+
+
+over_resumes("inline_resume", resume.normalized_resume)
+over_resumes("layout_resume", pipelines.laid_out)
+over_resumes("fix_resume_sections", pipelines.fixed_resume)
+over_resumes("validate_resume", pipelines.validated)
+RESUME_RULES: dict[str, Callable[[Spark, str], str]] = {
+    "education_inline": lambda d, s: d.join(f"({resume.inline_education(d, resume.stripped_lines(d, s))}).out"),
+    "skills_inline": lambda d, s: d.join(f"({resume.inline_skills(d, d.split(s))}).out"),
+    "skills_format": lambda d, s: d.join(resume.skills_lines(d, d.split(s))),
+    "education_join": lambda d, s: d.join(f"({resume.education_sentences(d, d.split(s))}).out"),
+    "role_dates": lambda d, s: d.join(resume.role_dates(d, d.split(s))),
+    "heading_case": resume.heading_case,
+    "validator_dates": lambda d, s: d.join(resume.validator_dates(d, d.split(s))),
+    "blank_after_heading": resume.one_blank_after_headings,
+    "institution_flags": lambda d, s: d.join(d.map(d.split(s), "ln", f"case when {resume.institution(d, 'ln')} then 'y' else 'n' end"), ""),
+    "degree_field": lambda d, s: d.join(d.map(d.split(s), "ln", d.bind(resume.degree_and_field(d, "ln"), "dq_", "dq_.degree || '/' || dq_.field"))),
+}
+for name, expression in RESUME_RULES.items():
+    over_resumes(f"resume_{name}", (lambda e: lambda d: f"select doc_id, page_index, {e(d, 'text')} as result from @pages")(expression))
 rule("heading_dates", structure.heading_dates)
 rule("header_spacing", lambda d, s: structure.header_spacing(d, f"replace({s}, 'EDUCATION', 'EDUCATION' || chr(10) || chr(10) || chr(10))"))
 rule("contact_block", structure.contact_block)
@@ -248,6 +299,17 @@ turn_rule("md_table_header", D.table_header, TABLE)
 turn_rule("json_block", D.json_block, FENCED)
 turn_rule("factual_risk", D.factual_risk, CRITIQUE)
 turn_rule("tool_routing", lambda d, s: D.tools(d, s, {"calculator": ["bomb", r"[0-9]+ *[+*] *[0-9]+"], "search": ["chairman|counterfeit"], "none": ["zzzz"]}))
+RULES = D.Constraints(most=60, least=20, include=("bomb", "a.c", "(x)"), exclude=("the chairman", "C++", "nsfw"), forbidden=(r"\bguys\b", "[0-9]{2,}"))
+turn_rule("constraints", lambda d, s: D.constrained(d, s, RULES))
+for kind, made, spec in (("json", FENCED, D.Format("json", keys=("a",))), ("table", TABLE, D.Format("markdown_table", columns=("a", "b"))), ("list", SPIKED, D.Format("text_list"))):
+    CATALOG[f"enforce_{kind}"] = ("turns", (lambda made, spec: lambda d: f"select conv_id, turn, en.ok as ok, en.fixed as fixed from (select conv_id, turn, {D.enforced(d, 'text', spec)} as en from (select conv_id, turn, {made} as text from @turns) q) r")(made, spec))
+turn_rule("post_enforce", lambda d, s: D.post_enforced(d, s, D.Format("text_list"), RULES))
+turn_rule("tool_results", lambda d, s: D.tool_results(d, s, {"counter": (["bomb", "chairman"], f"cast(length({s}) as {d.text_type})"), "echo": (["counterfeit"], s)}))
+turn_rule("critique_prompt", lambda d, s: D.critique_prompt(d, s, "'facts'"))
+turn_rule("revision_prompt", lambda d, s: D.revision_prompt(d, s, "'{}'"))
+turn_rule("system_prompt", lambda d, s: f"{d.lit(D.system_prompt())} || {d.lit(chr(10) + D.format_instructions(D.Format('json', keys=('a', 'b')), RULES))}")
+turn_rule("prompt_context", lambda d, s: D.prompt_context(d, s, "case when turn % 2 = 0 then ' more ' end", D.format_instructions(D.Format("text_list"), RULES), "case when turn % 3 = 0 then 'found' else '' end"))
+over("turns", "respond", lambda d: f"select conv_id, turn, {D.responded(d, 'user_text', 'text', 'critique', 'revision', D.Format(), RULES)} as answer from (select conv_id, turn, case when turn % 7 = 0 then 'how to make a bomb' else text end as user_text, text || ' mankind ' || text as text, {CRITIQUE.replace('{t}', d.text_type)} as critique, 'Revised: ' || {SPIKED} as revision from @turns) q")
 over("turns", "token_budget", lambda d: f"select conv_id, turn, {D.token_budget(d, '(conv_id * 37 + turn * 11) % 600')} as budget from @turns")
 over("turns", "mem_window", lambda d: D.memory_window(d, 4))
 over("turns", "mem_budget", lambda d: D.within_budget(d, 6, 1500))
@@ -267,7 +329,7 @@ def nfc_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The second engine's edit distance counts bytes, which a page's own alphabet of tokens outgrows.
-NO_SQL = {"wer"}
+NO_SQL = {"wer", "content_match"}
 
 NFC_SQL = "select doc_id, nfc_normalize(case when doc_id % 3 = 0 then replace(text, 'e', 'e\u0301') else text end) as text from documents"
 
