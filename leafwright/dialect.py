@@ -130,6 +130,9 @@ class Spark:
     def json(self, s: str, key: str) -> str:
         return f"get_json_object({s}, '$.{key}')"
 
+    def quoted(self, name: str) -> str:
+        return f"`{name}`"
+
     def json_keys(self, s: str) -> str:
         """The keys of a JSON object; null for any other text."""
         return f"case when try_parse_json({s}) is not null then json_object_keys({s}) end"
@@ -261,6 +264,9 @@ class Duck(Spark):
     def json(self, s: str, key: str) -> str:
         return f"case when json_valid({s}) then json_extract_string({s}, '$.{key}') end"
 
+    def quoted(self, name: str) -> str:
+        return f'"{name}"'
+
     def json_keys(self, s: str) -> str:
         return f"case when json_valid({s}) and json_type({s}) = 'OBJECT' then json_keys({s}) end"
 

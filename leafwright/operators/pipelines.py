@@ -188,11 +188,52 @@ def resume_text(d: Spark) -> str:
     return chain(d, "select doc_id, page_index, text from @pages", resume.cleaned_text)
 
 
-def by_policy(d: Spark) -> str:
-    """A document under a policy: glyphs, wraps, pipes, labels, one phone label, headings with blank lines around."""
-    pipes = lambda d, s: T.by_line(d, s, "ln", d.sub("ln", r"\s*\|\s*", " | "))
-    tidy = lambda d, s: T.tidy_lines(d, s)
-    return chain(d, "select doc_id, page_index, text from @pages", T.base_clean, T.without_bare_emails, pipes, _each(T.labels), T.unified_phone, tidy, _lines(heal.spaced_headings), T.single_blank_lines, T.strip)
+POLICY_COUNTS = ("lines_in", "urls_removed", "labels_normalized", "bullets_normalized", "wraps_healed", "headers_detected", "blanks_collapsed")
+
+
+def by_policy(d: Spark, list_casing: str = "title", symbol: str = "\u2022", spacious: bool = True) -> str:
+    """A document under a policy, with its counts: glyphs, e-mail lines, pipes, labels and one phone label; wrapped lines
+    healed unless a line ends a sentence; headings with blank lines around; the coursework list in one case."""
+    dropped = lambda d, s: d.size(d.filter(d.split(s), "ln", T.is_bare_email(d, "ln")))
+    tidy = lambda d, s: T.by_line(d, T.unified_phone(d, T.by_line(d, s, "ln", T.labels(d, d.sub("ln", r"\s*\|\s*", " | ")))), "ln", T.collapsed(d, T.rstrip(d, "ln")))
+    bullet = lambda e: d.found(e, f"^\\s*[{symbol}] ")
+    ended = lambda e: d.found(e, r"[.!?:;]\z")
+    join = f"({d.size('acc.out')} > 0 and {d.at('x.out', '1')} <> '' and not {ended(d.at('acc.out', d.size('acc.out')))} and not {bullet(d.at('x.out', '1'))} and not {T.heading(d, d.at('x.out', '1'), 'document')})"
+    merged = f"{T.rstrip(d, d.at('acc.out', d.size('acc.out')))} || ' ' || {T.lstrip(d, d.at('x.out', '1'))}"
+    step = (
+        f"case when {join} then {d.struct(out=d.concat(d.part('acc.out', '1', d.size('acc.out') + ' - 1'), d.array(merged)), n=f'acc.n + case when {bullet(d.at("acc.out", d.size("acc.out")))} then 1 else 0 end')}"
+        f" else {d.struct(out=d.concat('acc.out', 'x.out'), n='acc.n')} end"
+    )
+    healed = lambda d, s: resume.sweep(d, d.split(s), {"out": d.strings(), "n": "0"}, {"out": d.array("ln"), "n": "0"}, step)
+    head = T.heading(d, "ln", "document")
+    heads = lambda d, s: d.size(d.filter(d.split(s), "ln", head))
+    seed, item = {"out": d.strings(), "head": "false"}, {"out": d.array(f"case when {head} then {T.strip(d, 'ln')} else {T.rstrip(d, 'ln')} end"), "head": head}
+    before = f"{d.size('acc.out')} > 0 and coalesce({d.at('acc.out', d.size('acc.out'))}, '') <> ''"
+    blank, last = d.array("''"), d.array("''") if spacious else d.strings()
+    spread = f"case when x.head then {d.struct(out=d.concat('acc.out', f'case when {before} then {blank} else {d.strings()} end', 'x.out', last), head='false')} else {d.struct(out=d.concat('acc.out', 'x.out'), head='false')} end"
+    spaced = lambda d, s: d.join(f"({resume.sweep(d, d.split(s), seed, item, spread)}).out")
+    line = r"(?i)^(Relevant Coursework)\s*:\s*(.+)$"
+    items = d.filter(d.map(d.split(d.first("ln", line, 2), ","), "it", T.strip(d, "it")), "it", "it <> ''")
+    case = T.title_item(d, "it") if list_casing == "title" else f"case when {T.is_upper(d, 'it')} then {d.upper('substring(it, 1, 1)')} || lower(substring(it, 2)) else it end"
+    cased = lambda d, s: T.by_line(d, s, "ln", f"case when {d.found('ln', line)} then {d.first('ln', line, 1)} || ': ' || {d.join(d.map(items, 'it', case), ', ')} else ln end")
+    cased = cased if list_casing in ("title", "sentence") else (lambda d, s: s)
+    fewer = lambda d, s: T.strip(d, d.sub(s, r"\n{3,}", "\n\n" if spacious else "\n"))
+    counts = {
+        "lines_in": lambda d, s: d.size(d.split(s)),
+        "urls_removed": dropped,
+        "labels_normalized": lambda d, s: d.size(d.filter(d.split(T.without_bare_emails(d, s)), "ln", d.found("ln", r"(?i)^\s*(?:mobile|phone)\s*:"))),
+    }
+    marks = lambda d, s: f"case when {d.found(s, '(?m)^\\s*[-*\u2022\u00b7\u2014]\\s+')} then 1 else 0 end"
+    heal_ = lambda d, s: d.bind(healed(d, s), "he_", d.join("he_.out"))
+    merges = lambda d, s: d.bind(healed(d, s), "he_", "cast(he_.n as bigint)")
+    steps = [
+        (T.without_bare_emails, counts), (tidy, {}), (heal_, {"bullets_normalized": marks, "wraps_healed": merges}), (spaced, {"headers_detected": heads}),
+        (cased, {}), (fewer, {"blanks_collapsed": lambda d, s: f"case when {d.found(s, '\\n{3,}')} then 1 else 0 end"}),
+    ]
+    from leafwright.operators import envelopes
+
+    pages = envelopes.counted(d, chain(d, "select doc_id, page_index, text from @pages", T.base_clean), [], *steps)
+    return f"select doc_id, page_index, text, {', '.join(POLICY_COUNTS)}, {d.size(d.split('text'))} as lines_out from ({pages}) bp"
 
 
 def documents(d: Spark, pages: str) -> str:

@@ -135,6 +135,7 @@ for name, cleaner in {"postproc": pipelines.postproc, "postproc_exact": pipeline
     over_pages(name)(cleaner)
 for name, cleaner in {"validate_twice": pipelines.validated_twice, "fix_resume": pipelines.fixed_resume, "layout": pipelines.laid_out, "resume_v1": pipelines.resume_v1, "clean_resume_text": pipelines.resume_text, "document_policy": pipelines.by_policy}.items():
     over_pages(name)(cleaner)
+over_pages("document_policy_compact")(lambda d: pipelines.by_policy(d, "sentence", spacious=False).replace("@pages", "(select doc_id, page_index, replace(text, 'Skills:', 'Relevant Coursework:') as text from @pages) cw"))
 over_pages("postproc_typos")(lambda d: pipelines.postproc(d, True))
 over_pages("postproc_documents")(lambda d: pipelines.documents(d, pipelines.postproc(d)))
 
@@ -227,6 +228,18 @@ def _fuse(d: Spark) -> str:
 
 over_pages("run_id")(lambda d: f"select doc_id, 'sha256:' || {d.sha(d.gathered('text', 'page_index', '') + " || '{\"lang\":\"en\",\"psm\":6}'")} as run_id from @pages group by doc_id")
 over_pages("run_metrics")(lambda d: f"select p.doc_id, count(*) as pages, cast(sum(length(p.text)) as bigint) as total_chars, coalesce(max(b.n), 0) as headers_stripped from @pages p left join (select doc_id, cast(sum(n_removed) as bigint) as n from ({boilerplate.removed(d, 'e')}) z group by doc_id) b on p.doc_id = b.doc_id group by p.doc_id")
+@over_pages("page_results")
+def _page_results(d: Spark) -> str:
+    """The fields that a run reports of each page, from the page's text and what its recognition left."""
+    c = d.map(d.range("(doc_id + page_index) % 23"), "i", d.double("(60 + doc_id * 7 + i * 13) % 100"))
+    made = f"select *, {c} as confidences, doc_id % 3 = 0 as direct, 900 + doc_id % 700 as w, 1200 + doc_id % 900 as h, {d.double('doc_id % 19 - 9')} as skew, 6 as psm, 'eng+osd' as code, 40 + page_index as t_ms, 5 + doc_id % 7 as t_pre, 3 as t_post from @pages"
+    return f"""select doc_id, page_index as {d.quoted('index')}, text, code as lang, {R.mean(d, 'confidences')} / 100 as char_conf_mean, {R.nearest_rank_p05(d, 'confidences')} as char_conf_p05,
+      {R.quality_flags(d, 'doc_id % 50', d.double('doc_id % 100') + ' / 100', 'skew')} as quality_flags, case when direct then 'pdf_text' else 'tesseract' end as engine, t_ms,
+      case when not direct then t_pre end as t_preproc_ms, case when not direct then psm end as psm_used, code as lang_code,
+      case when not direct then cast(w as {d.text_type}) || 'x' || cast(h as {d.text_type}) end as wxh, case when not direct then skew end as skew_deg, t_post as t_postproc_ms, {R.config_string(d, 'psm')} as cfg
+      from ({made}) pr"""
+
+
 over_pages("page_envelope")(lambda d: f"select doc_id, page_index, length(text) as chars, {d.size(d.split('text'))} as n_lines, {d.found('text', '\u00ad|-\\n')} as healed_hyphens, {T.words(d, 'text')} as tokens from @pages")
 
 

@@ -64,8 +64,8 @@ def test_skills(spark):
     assert rows == {("Programming", "Python, SQL"), ("Databases", "MySQL, Oracle")}
 
 
-def test_every_query_has_its_sql():
-    assert set(catalog.queries()) == set(catalog.oracle_sql())
+def test_every_query_has_its_sql_but_word_error_rates():
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == catalog.NO_SQL
     assert len(catalog.queries()) >= 120
 
 
