@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafwright.llm import flat
-from leafwright.llm.runtime import dropped, groups_for, stored
+from leafwright.llm.runtime import MOST_PARTITIONS, dropped, groups_for, stored
 
 #: Bytes of text that one pass of array operations takes, and for which anchors are counted before they are sent.
 PASS_BYTES, PACK_BYTES = 1 << 19, 32 << 20
@@ -103,7 +103,7 @@ def _passes(batch: pa.RecordBatch | pa.Table, windows: Windows, column: str = "t
         yield a, *windows.units(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
 
 
-def _announce(keyed: DataFrame, windows: Windows) -> DataFrame:
+def _announce(keyed: DataFrame, windows: Windows, parts: int) -> DataFrame:
     """h, g: the anchor hashes that occur more than once, by the groups that have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +136,7 @@ def _announce(keyed: DataFrame, windows: Windows) -> DataFrame:
         if held:
             yield rows()
 
-    sent = keyed.select("g", "text").mapInArrow(run, "h long, g long, n byte")
+    sent = keyed.select("g", "text").mapInArrow(run, "h long, g long, n byte").repartition(parts, "h")
     times = F.sum("n").over(Window.partitionBy("h"))
     return sent.withColumn("times", times).where("times > 1").select("h", "g")
 
@@ -145,7 +145,7 @@ def _announce(keyed: DataFrame, windows: Windows) -> DataFrame:
 CONTEXT = "g long, id int, h long, text binary, least long, times int, places binary"
 
 
-def _contexts(keyed: DataFrame, wanted: DataFrame, windows: Windows) -> DataFrame:
+def _contexts(keyed: DataFrame, wanted: DataFrame, windows: Windows, parts: int) -> DataFrame:
     """The distinct contexts of each group with the smallest document and the number of their occurrences, and packed:
     context, doc, tie and first unit of each occurrence."""
 
@@ -189,7 +189,7 @@ def _contexts(keyed: DataFrame, wanted: DataFrame, windows: Windows) -> DataFram
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary())
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["g", "id", "h", "text", "least", "times", "places"])
 
-    return keyed.groupBy("g").cogroup(wanted.groupBy("g")).applyInArrow(run, CONTEXT)
+    return keyed.repartition(parts, "g").groupBy("g").cogroup(wanted.repartition(parts, "g").groupBy("g")).applyInArrow(run, CONTEXT)
 
 
 #: For each context of one anchor a bound by window: the window is removed from documents above its bound.
@@ -197,7 +197,7 @@ Resolver = Callable[[list[bytes], list[int], list[int]], list[np.ndarray]]
 NONE, ALL = (1 << 63) - 1, -(1 << 63)
 
 
-def _resolved(contexts: DataFrame, windows: Windows, resolve: Resolver, buckets: int) -> DataFrame:
+def _resolved(contexts: DataFrame, windows: Windows, resolve: Resolver, buckets: int, parts: int) -> DataFrame:
     """g, id, from, until, bound: of a group's context, the windows from and up to until are removed from documents
     above the bound. Bounds that remove nothing are left out."""
 
@@ -234,7 +234,7 @@ def _resolved(contexts: DataFrame, windows: Windows, resolve: Resolver, buckets:
         return pa.table({"g": group[row], "id": id_[row], "from": first[at], "until": until[at], "bound": bound[at]})
 
     dealt = contexts.where("id >= 0").select("g", "id", "h", "text", "least", "times", F.pmod("h", F.lit(buckets)).alias("bucket"))
-    return dealt.groupBy("bucket").applyInArrow(run, "g long, id int, from long, until long, bound long")
+    return dealt.repartition(parts, "bucket").groupBy("bucket").applyInArrow(run, "g long, id int, from long, until long, bound long")
 
 
 def _window_counts(texts: list[bytes], windows: Windows) -> np.ndarray:
@@ -299,12 +299,13 @@ def repeated(docs: DataFrame, windows: Windows, resolve: Resolver, finish: Calla
     """finish(rows, removed) makes the result of a group of documents; removed: window starts, first and last, by
     (doc_id, tie). rows has doc_id, tie, doc (doc_id with null as the largest) and text."""
     groups = groups_for(docs)
+    parts = min(groups, MOST_PARTITIONS)  # of every shuffle, so that no task grows with the input
     keyed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumns({"tie": F.xxhash64("text"), "doc": F.coalesce("doc_id", F.lit(NONE))})
     keyed = keyed.withColumn("g", F.pmod(F.xxhash64("doc", "tie"), F.lit(groups)))
-    wanted = stored(_announce(keyed, windows))
-    contexts = stored(_contexts(keyed.select("g", "doc", "tie", "text"), wanted, windows))
+    wanted = stored(_announce(keyed, windows, parts))
+    contexts = stored(_contexts(keyed.select("g", "doc", "tie", "text"), wanted, windows, parts))
     dropped(wanted)
-    bounds = stored(_resolved(contexts, windows, resolve, groups))
+    bounds = stored(_resolved(contexts, windows, resolve, groups, parts))
     nothing = F.lit(None)
     places = contexts.where("id = -1").select("g", nothing.cast("int").alias("id"), nothing.cast("long").alias("from"), nothing.cast("long").alias("until"), nothing.cast("long").alias("bound"), "places")
     found = places.unionByName(bounds.withColumn("places", nothing.cast("binary")))
@@ -329,7 +330,7 @@ def repeated(docs: DataFrame, windows: Windows, resolve: Resolver, finish: Calla
                 removed.setdefault((d, t), []).append((a, b))
         return finish(rows, removed)
 
-    return keyed.groupBy("g").cogroup(found.groupBy("g")).applyInArrow(last, schema)
+    return keyed.repartition(parts, "g").groupBy("g").cogroup(found.repartition(parts, "g").groupBy("g")).applyInArrow(last, schema)
 
 
 def merged(windows: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
