@@ -10,8 +10,9 @@ gives stretches from its whole length, one from each of `STRETCHES` equal parts
 every whole text. Texts are lower-cased, letters stay, everything else becomes one separator. Parsing runs many stretches
 of `STRETCH` symbols side by side; a phrase ends where its stretch ends.
 
-Transitions are kept sparse: each state's first one in two arrays, further ones in a hash table, all of the start state
-by letter. So memory follows the length of the samples, not the number of letters of a script.
+Transitions are kept sparse: a state's first one with the state, further ones in a hash table; only states with many ways,
+near the start, have a row by letter, and there are fewer of those the more letters there are. So memory follows the
+length of the samples, not the number of letters of a script.
 
 Defined results: null text, or text without a letter: `und`, score 0; no labelled text at all: every text is `und`;
 ties go to the label that sorts first; repeated rows get the same answer; a null doc_id is never held out, and comes back
@@ -80,24 +81,35 @@ class Transitions:
         size = [len(a) for a in automata]
         self.start = np.cumsum([0, *size[:-1]], dtype=np.int64)[: len(size)]
         n = sum(size)
-        self.letter, self.to, self.several = np.full(n, -1, np.int32), np.zeros(n, np.int32), np.zeros(n, bool)
+        # of each state, in one number: the first letter that leads on, where to, and 0 or 1 if that is all or there are
+        # more; or the row of a state with many ways, and 2
+        many = max(4, width // 16)
+        letter, to, kind = np.full(n, -1, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
         self.first = np.zeros((len(size), width), np.int32)
-        states, letters, ends = [], [], []
+        states, letters, ends, rows = [], [], [], []
         for k, steps in enumerate(automata):
             base = int(self.start[k])
             for c, t in steps[0].items():
                 self.first[k, c] = base + t
             for s, ways in enumerate(steps):
+                if len(ways) > many:
+                    to[base + s], kind[base + s] = len(rows), 2
+                    row = np.zeros(width, np.int32)
+                    row[list(ways)] = [base + t for t in ways.values()]
+                    rows.append(row)
+                    continue
                 more = iter(ways.items())
                 for c, t in more:
-                    self.letter[base + s], self.to[base + s] = c, base + t
+                    letter[base + s], to[base + s] = c, base + t
                     break
                 for c, t in more:
                     states.append(base + s)
                     letters.append(c)
                     ends.append(base + t)
+        self.rows = np.concatenate(rows) if rows else np.zeros(width, np.int32)
         self.width = width
-        self.several[np.array(states, np.int64)] = True
+        kind[np.array(states, np.int64)] = 1
+        self.ways = letter << 34 | to << 2 | kind
         keys = np.array(states, np.int64) * width + np.array(letters, np.int64)
         self.bits = max(4, int(2 * len(keys) + 1).bit_length())
         self.keys, self.ends = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
@@ -116,8 +128,13 @@ class Transitions:
 
     def follow(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
         """Where state goes with c; both flat, of one length."""
-        out = np.where(self.letter[state] == c, self.to[state], 0)
-        left = np.flatnonzero((out == 0) & self.several[state])
+        ways = self.ways[state]
+        kind, to = ways & 3, ways >> 2 & (1 << 32) - 1
+        fits = (ways >> 34) == c
+        out = np.where(fits, to, 0)
+        dense = np.flatnonzero(kind == 2)
+        out[dense] = self.rows[to[dense] * self.width + c[dense]]
+        left = np.flatnonzero((kind == 1) & ~fits)
         keys = state[left].astype(np.int64) * self.width + c[left]
         at = self._slot(keys)
         while len(left):
@@ -128,6 +145,11 @@ class Transitions:
             left, keys, at = left[on], keys[on], (at[on] + 1) & ((1 << self.bits) - 1)
         return out
 
+    def restart(self, language: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Where a phrase that begins with c stands."""
+        begin = self.first[language, c]
+        return np.where(begin == 0, self.start[language], begin)
+
 
 class CrossParser:
     def __init__(self, samples: dict[str, str]):
@@ -171,11 +193,11 @@ class CrossParser:
         for t in range(int(size[0]) if len(size) else 0):
             n = active[t]
             c = s[start[:n] + t]
-            to = self.ways.follow(state[:, :n].ravel(), np.tile(c, len(self.languages))).reshape(len(self.languages), n)
-            miss = to == 0
-            missed[:, :n] += miss
-            begin = self.ways.first[:, c]
-            state[:, :n] = np.where(miss, np.where(begin == 0, self.ways.start[:, None], begin), to)
+            to = self.ways.follow(state[:, :n].ravel(), np.tile(c, len(self.languages)))
+            miss = np.flatnonzero(to == 0)
+            to[miss] = self.ways.restart(miss // n, c[miss % n])
+            missed.ravel()[miss // n * missed.shape[1] + miss % n] += 1
+            state[:, :n] = to.reshape(len(self.languages), n)
         out = np.zeros((len(texts), len(self.languages)), dtype=np.int64)
         for k in range(len(self.languages)):
             out[:, k] = np.bincount(text, weights=missed[k] + 1, minlength=len(texts))
