@@ -21,7 +21,8 @@ as null; an empty table gives an empty table; other columns are ignored by `iden
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -77,40 +78,48 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
 class Transitions:
     """The transitions of several automata, whose states are numbered through. 0 stands for no way on."""
 
-    def __init__(self, automata: list[list[dict[int, int]]], width: int):
-        size = [len(a) for a in automata]
-        self.start = np.cumsum([0, *size[:-1]], dtype=np.int64)[: len(size)]
-        n = sum(size)
+    def __init__(self, automata: Iterable[list[dict[int, int]]], width: int):
         # of each state, in one number: the first letter that leads on, where to, and 0 or 1 if that is all or there are
         # more; or the row of a state with many ways, and 2
         many = max(4, width // 16)
-        letter, to, kind = np.full(n, -1, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.first = np.zeros((len(size), width), np.int32)
-        states, letters, ends, rows = [], [], [], []
-        for k, steps in enumerate(automata):
-            base = int(self.start[k])
+        start, first, ways_of, states, letters, ends, rows, base = [], [], [], [], [], [], [], 0
+        for steps in automata:  # one automaton is held at a time, as objects it takes ten times the room of its arrays
+            letter, to, kind = np.full(len(steps), -1, np.int64), np.zeros(len(steps), np.int64), np.zeros(len(steps), np.int64)
+            begin = np.zeros(width, np.int32)
+            more_of, more_by, more_to = array("q"), array("q"), array("i")
             for c, t in steps[0].items():
-                self.first[k, c] = base + t
+                begin[c] = base + t
             for s, ways in enumerate(steps):
                 if len(ways) > many:
-                    to[base + s], kind[base + s] = len(rows), 2
+                    to[s], kind[s] = len(rows), 2
                     row = np.zeros(width, np.int32)
                     row[list(ways)] = [base + t for t in ways.values()]
                     rows.append(row)
                     continue
                 more = iter(ways.items())
                 for c, t in more:
-                    letter[base + s], to[base + s] = c, base + t
+                    letter[s], to[s] = c, base + t
                     break
                 for c, t in more:
-                    states.append(base + s)
-                    letters.append(c)
-                    ends.append(base + t)
+                    kind[s] = 1
+                    more_of.append(base + s)
+                    more_by.append(c)
+                    more_to.append(base + t)
+            start.append(base)
+            first.append(begin)
+            ways_of.append(letter << 34 | to << 2 | kind)
+            states.append(np.array(more_of, np.int64))
+            letters.append(np.array(more_by, np.int64))
+            ends.append(np.array(more_to, np.int32))
+            base += len(steps)
+            del steps, ways, more
+        self.start = np.array(start, dtype=np.int64)
+        self.first = np.array(first, np.int32).reshape(len(start), width)
+        self.ways = np.concatenate(ways_of) if ways_of else np.zeros(0, np.int64)
         self.rows = np.concatenate(rows) if rows else np.zeros(width, np.int32)
         self.width = width
-        kind[np.array(states, np.int64)] = 1
-        self.ways = letter << 34 | to << 2 | kind
-        keys = np.array(states, np.int64) * width + np.array(letters, np.int64)
+        to = np.concatenate([np.zeros(0, np.int32), *ends])
+        keys = np.concatenate([np.zeros(0, np.int64), *states]) * width + np.concatenate([np.zeros(0, np.int64), *letters])
         self.bits = max(4, int(2 * len(keys) + 1).bit_length())
         self.keys, self.ends = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
         left, at = np.arange(len(keys)), self._slot(keys)
@@ -118,7 +127,7 @@ class Transitions:
             free = self.keys[at[left]] < 0
             self.keys[at[left[free]]] = keys[left[free]]
             got = self.keys[at[left]] == keys[left]
-            self.ends[at[left[got]]] = np.array(ends, np.int32)[left[got]]
+            self.ends[at[left[got]]] = to[left[got]]
             left = left[~got]
             at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
 
@@ -159,7 +168,7 @@ class CrossParser:
         self.symbol[[i for i in range(0x110000) if chr(i).isalpha()]] = UNKNOWN
         for k, c in enumerate(letters, start=2):
             self.symbol[ord(c)] = k
-        automata = [suffix_automaton([int(s) for s in self.symbols([samples[x]])[0] if s != UNKNOWN]) for x in self.languages]
+        automata = (suffix_automaton([int(s) for s in self.symbols([samples[x]])[0] if s != UNKNOWN]) for x in self.languages)
         self.ways = Transitions(automata, len(letters) + 2)
         self.bits = np.log2([len(samples[x]) + 2 for x in self.languages])
 
@@ -172,9 +181,11 @@ class CrossParser:
         keep = np.ones(len(s), dtype=bool)
         keep[1:] = ~(apart[1:] & apart[:-1])
         keep[ends[:-1][ends[:-1] < len(s)]] = True
-        run = np.concatenate([[0], np.cumsum(~apart)])
-        letters = run[ends] - run[np.concatenate([[0], ends[:-1]])]
-        return s[keep], np.concatenate([[0], np.cumsum(keep)])[ends], letters
+        run = np.zeros(len(s) + 1, np.int32)
+        np.cumsum(~apart, dtype=np.int32, out=run[1:])
+        letters = (run[ends] - run[np.concatenate([[0], ends[:-1]])]).astype(np.int64)
+        np.cumsum(keep, dtype=np.int32, out=run[1:])
+        return s[keep], run[ends].astype(np.int64), letters
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases by text and language, and each text's letters."""
@@ -285,6 +296,20 @@ def identify(docs: DataFrame, folds: int = 5) -> DataFrame:
     return out.select("doc_id", held_out(folds=folds).alias("held_out"), "lang_pred", "score")
 
 
+def accepted_batches(batches: Iterable[pa.RecordBatch], parser: CrossParser) -> Iterator[pa.RecordBatch]:
+    """`accepted` on batches. Each pass goes on its own, so that a batch of whole texts is not held twice."""
+    for batch in batches:
+        at, lang_at = batch.schema.get_field_index("text"), batch.schema.get_field_index("lang")
+        size = np.asarray(pa.compute.fill_null(pa.compute.utf8_length(batch.column(at)), 0))
+        for a, b in cuts(size, PASS_CHARS):
+            part = batch.slice(a, b - a)
+            found, _, foreign = parser.predict(part.column(at).fill_null("").to_pylist())
+            lang = pa.compute.coalesce(part.column(lang_at), pa.array(found, part.column(lang_at).type))
+            columns = [lang if i == lang_at else c for i, c in enumerate(part.columns)]
+            kept = pa.array([x != "und" and not f for x, f in zip(found, foreign.tolist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(kept)
+
+
 def accepted(docs: DataFrame, folds: int = 5) -> DataFrame:
     """The rows of docs whose text is in a known language, where they are, with a null lang filled in.
 
@@ -292,18 +317,6 @@ def accepted(docs: DataFrame, folds: int = 5) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(sample(docs.where(~held_out(folds=folds))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = _parser(sent.value)
-        for batch in batches:
-            at, lang_at = batch.schema.get_field_index("text"), batch.schema.get_field_index("lang")
-            size = np.asarray(pa.compute.fill_null(pa.compute.utf8_length(batch.column(at)), 0))
-            found: list[str] = []
-            foreign: list[bool] = []
-            for a, b in cuts(size, PASS_CHARS):
-                lang, _, strange = parser.predict(batch.column(at).slice(a, b - a).fill_null("").to_pylist())
-                found += lang
-                foreign += strange.tolist()
-            lang = pa.compute.coalesce(batch.column(lang_at), pa.array(found, batch.column(lang_at).type))
-            columns = [lang if i == lang_at else c for i, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array([x != "und" and not f for x, f in zip(found, foreign, strict=True)], pa.bool_()))
+        yield from accepted_batches(batches, _parser(sent.value))
 
     return docs.mapInArrow(run, docs.schema)

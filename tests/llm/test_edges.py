@@ -2,8 +2,10 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from leafwright.llm import ann, langid, line_dedup, minhash, mixing, runtime
@@ -115,6 +117,32 @@ def test_a_script_of_many_letters_stays_small_and_foreign_texts_are_told():
     assert lang[:2] == ["zh", "en"] and foreign.tolist() == [False, False, True]
 
 
+def test_building_holds_one_automaton_at_a_time():
+    rng = random.Random(2)
+
+    def peak(n):
+        samples = {f"l{k}": "".join(rng.choices("abcdefghijklmnop ", k=20_000)) for k in range(n)}
+        tracemalloc.start()
+        try:
+            langid.CrossParser(samples)
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    assert peak(6) < 2 * peak(1)
+
+
+def test_accepted_passes_batches_on_in_parts(monkeypatch):
+    texts = ["la lo li lu " * 20, None, "ob ab ib ub " * 20, "12 !?", "", "быстро " * 30, "la lo " * 30]
+    batch = pa.record_batch({"text": texts, "lang": pa.array([None, "aa", "bb", None, None, "aa", None], pa.string()), "n": list(range(7))})
+    parser = langid.CrossParser({"aa": "la lo li lu " * 30, "bb": "ob ab ib ub " * 30})
+    whole = pa.Table.from_batches(langid.accepted_batches([batch], parser)).to_pylist()
+    assert [(r["n"], r["lang"]) for r in whole] == [(0, "aa"), (2, "bb"), (6, "aa")]
+    monkeypatch.setattr(langid, "PASS_CHARS", 100)
+    parts = list(langid.accepted_batches([batch], parser))
+    assert max(x.num_rows for x in parts) == 1 and pa.Table.from_batches(parts).to_pylist() == whole
+
+
 def test_stretches_cover_long_texts(spark):
     from pyspark.sql import functions as F
 
